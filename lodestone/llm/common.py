@@ -37,13 +37,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialize_by(df: DataFrame, name: str, column: str) -> tuple[DataFrame, str]:
+    """As materialize(), in a folder for each value of a column, so that some can be deleted before others; and the path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(column).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete files that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a DataFrame that materialize() returned and that nothing reads any more."""
     path = getattr(df, "_lodestone_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        discard_path(df.sparkSession, path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,11 +40,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, like_documents, materialize, texts
+from .common import discard, discard_path, like_documents, materialize, materialize_by, texts
 
 #: Sets in a chunk at least; shingles that may be put last (their number bounds the broadcast); copies in a task from which one counts as frequent there.
 CHUNK, FREQUENT, LOCALLY_FREQUENT = 256, 65_536, 3
 FANOUT = 8
+MEMBER_BITS = 1 << 24
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -95,7 +96,9 @@ class Classes:
             order = np.lexsort((tokens, place))
             tokens = tokens[order[:first]]
         c = self.of(n)
-        both = np.concatenate([tokens + np.uint64((c + 1) * 0xD1B54A32D192ED03 % 2**64), tokens + np.uint64((c + 2) * 0xD1B54A32D192ED03 % 2**64)])
+        # With a partner of the next class this set is the smaller one, and so shares more of itself.
+        fewer = tokens[: n - (-(-2 * self.percent * n // (100 + self.percent))) + 1]
+        both = np.concatenate([tokens + np.uint64((c + 1) * 0xD1B54A32D192ED03 % 2**64), fewer + np.uint64((c + 2) * 0xD1B54A32D192ED03 % 2**64)])
         return both
 
 
@@ -288,6 +291,7 @@ def _chunk_links(percent: int):
     def run(batches):
         out = []
         for (cluster, chunk), rows in _groups(_rows_of(batches, "cluster", "chunk", "name", "tokens"), 2):
+            rows = [r for i, r in enumerate(rows) if not i or r[2] != rows[i - 1][2]]  # a document may be there twice
             sets = [np.frombuffer(r[3], np.uint64) for r in rows]
             parts = Parts(len(sets))
             if len(sets) > 1:
@@ -367,41 +371,56 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     token, n = np.asarray(often.column("token").to_numpy(), np.int64).view(np.uint64), np.asarray(often.column("n").to_numpy(), np.int64)
     order = np.argsort(token)
     held = spark.sparkContext.broadcast((token[order], n[order]))
-    routed = materialize(rows.mapInArrow(_route(shingle, percent, held), ROUTED), "routed")
+    routed, routed_path = materialize_by(rows.mapInArrow(_route(shingle, percent, held), ROUTED), "routed", "kind")
 
     same_key = Window.partitionBy("key")
     across = routed.filter("kind = 1").select("key", "node").withColumn("other", F.min("node").over(same_key)).filter("node <> other").select("node", "other")
     ties = across.unionByName(routed.filter("kind = 2").select("node", "other")).distinct()
     clusters = connected(ties, "node", "other")
-
-    named = routed.filter("kind = 0 and name is not null").select("doc_id", "name", "node")
-    one = named.groupBy("name", "node").agg(F.min("doc_id").alias("doc_id"))
+    every = routed.filter("kind = 0").select("doc_id", "n_shingles", "name", "node")
+    one = every.filter("name is not null").groupBy("name", "node").agg(F.min("doc_id").alias("doc_id"))
     clustered = materialize(one.join(clusters, "node").select("doc_id", "name", F.col("label").alias("cluster")), "clustered")
+    for kind in (1, 2):
+        discard_path(spark, f"{routed_path}/kind={kind}")
     sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / F.greatest(F.lit(CHUNK), F.sqrt("n"))).cast("int"))
     large = materialize(sizes.filter("chunks > 1").select("cluster", "chunks"), "large")
+    chunked = clustered.join(large, "cluster", "left").select("doc_id", "name", "cluster", F.pmod(F.hash("name"), F.coalesce("chunks", F.lit(1))).alias("chunk"), F.col("chunks").isNotNull().alias("is_large"))
+
+    # Only documents that stand for a clustered set are shingled again and moved. They are told by a bitmap of
+    # their ids of a fixed size; what it lets through by chance, the join drops.
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MEMBER_BITS))
+    words = clustered.select(F.shiftright(bit, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(MEMBER_BITS // 64, np.uint64)
+    bitmap[np.asarray(words.column("word").to_numpy(), np.int64)] = np.asarray(words.column("bits").to_numpy(), np.int64).view(np.uint64)
+    member_of = spark.sparkContext.broadcast(bitmap)
 
     def set_rows(batches):
+        known = member_of.value
         for b in batches:
+            h = np.asarray(b.column("bit").to_numpy(zero_copy_only=False), np.int64)
+            b = b.take(pa.array(np.flatnonzero((known[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))))
             sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
-            names = b.column("name").to_pylist()
-            keep = [i for i, s in enumerate(sets) if name_of(s) == names[i]]  # rows of one doc_id may have unlike texts
+            keep = [i for i, x in enumerate(sets) if len(x)]
             b = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("chunk"), b.column("name"), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["cluster", "chunk", "name", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([name_of(sets[i]) for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["doc_id", "name", "tokens"])
 
-    chunked = clustered.join(large, "cluster", "left").withColumn("chunk", F.pmod(F.hash("name"), F.coalesce("chunks", F.lit(1))))
-    wanted = rows.join(chunked.select("doc_id", "name", "cluster", "chunk"), "doc_id")
-    member_rows = wanted.select("cluster", "chunk", "name", "text").mapInArrow(set_rows, "cluster long, chunk int, name binary, tokens binary")
+    sets = rows.select("doc_id", "text", bit.alias("bit")).mapInArrow(set_rows, "doc_id long, name binary, tokens binary")
+    members = sets.join(chunked, ["doc_id", "name"]).select("cluster", "chunk", "name", "tokens", "is_large")
     has_large = large.limit(1).count() > 0
-    members = materialize(member_rows.dropDuplicates(["name"]), "members") if has_large else member_rows
-    parts = materialize(members.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk").mapInArrow(_chunk_links(percent), LINKED), "parts")
+    placed = members.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "name")
+    if has_large:
+        placed, placed_path = materialize_by(placed, "members", "is_large")
+        placed = placed.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "name")
+    parts = materialize(placed.drop("is_large").mapInArrow(_chunk_links(percent), LINKED), "parts")
     part_of = parts.select("name", "part").distinct()
     if has_large:
-        labels = _large_clusters(members.join(large.select("cluster"), "cluster", "left_semi"), parts, percent)
+        in_large = spark.read.schema("cluster long, chunk int, name binary, tokens binary").parquet(f"{placed_path}/is_large=true").dropDuplicates(["name"])
+        labels = _large_clusters(in_large, parts, percent)
+        discard_path(spark, placed_path)
         part_of = part_of.join(labels, part_of["part"] == labels["node"], "left").select("name", F.coalesce("label", "part").alias("part"))
     first = one.join(part_of, "name", "left").select("name", "doc_id", F.coalesce("part", "name").alias("part"))
     smallest = first.groupBy("part").agg(F.min("doc_id").alias("component_id"))
     named_class = first.join(smallest, "part").select("name", "component_id")
-    every = routed.filter("kind = 0").select("doc_id", "n_shingles", "name")
     # Sets without words have no name, meet nothing, and stay their own component.
     found = every.filter("name is not null").join(named_class, "name").select("doc_id", "n_shingles", "component_id")
     return found.unionByName(every.filter("name is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
