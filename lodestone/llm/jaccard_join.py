@@ -389,7 +389,7 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     # Only documents that stand for a clustered set are shingled again and moved. They are told by a bitmap of
     # their ids of a fixed size; what it lets through by chance, the join drops.
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(MEMBER_BITS))
-    words = clustered.select(F.shiftright(bit, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = clustered.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bitmap = np.zeros(MEMBER_BITS // 64, np.uint64)
     bitmap[np.asarray(words.column("word").to_numpy(), np.int64)] = np.asarray(words.column("bits").to_numpy(), np.int64).view(np.uint64)
     member_of = spark.sparkContext.broadcast(bitmap)
