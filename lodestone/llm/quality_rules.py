@@ -159,4 +159,4 @@ def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     from .common import like_documents
 
     rejected = judge(docs, threshold=threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_rejected")).distinct()
-    return like_documents(docs.join(rejected, docs["doc_id"].cast("long") == rejected["_rejected"], "left_anti"), docs)
+    return like_documents(docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(rejected["_rejected"]), "left_anti"), docs)

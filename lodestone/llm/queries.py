@@ -71,4 +71,35 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_spotsigs, op3_quality_rules, op4_secrets, op5_packing, op6_byte_bpe, op7_licenses, op8_jaccard_join, op9_toxicity, op10_html_extraction)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+# --- SQL for the same rows, where SQL can express a method's result
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _secrets_sql() -> str:
+    """Spans by what lies between matches and the matches themselves, rule by rule."""
+    parts = []
+    for rank, (kind, pattern, _, group, least) in enumerate(secrets.RULES[secrets.CURRENT]):
+        p = pattern.replace("*+", "*").replace("++", "+").replace("}+", "}").replace("'", "''")
+        counts = f"length(regexp_extract(hits[i], '{p}', {group}))" if group else "length(hits[i])"
+        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rk, pos AS a, pos + length(hits[i]) AS b FROM (SELECT doc_id, hits, i, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS pos
+ FROM (SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}', 0) AS hits, string_split_regex(text, '{p}') AS gaps FROM documents WHERE text IS NOT NULL))) WHERE {counts} >= {least}""")
+    one = "kind || ':' || a || ':' || b"
+    base = ", ".join(f"'{k}'" for k in secrets.BASE_KINDS)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE_KINDS)
+    return f"""WITH f AS ({" UNION ALL ".join(parts)}) SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({one}, ',' ORDER BY a, rk) FILTER (kind IN ({base})), '')) AS base_sha256, coalesce(string_agg({one}, ',' ORDER BY a, rk) FILTER (kind IS NOT NULL), '') AS spans
+ FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_secrets": _secrets_sql(),
+    "op8_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+', 0) AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' ')) END) AS sh FROM w)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 90 * (p.n + q.n - k)),
+ r(x, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.x)
+ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.root) AS component_id FROM documents d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+}
