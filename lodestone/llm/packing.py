@@ -16,12 +16,13 @@ are left out. Equal inputs give equal packings.
 
 from __future__ import annotations
 
+import json
 import os
 import random
-import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,6 +36,9 @@ SHARD = 4_000
 ISLANDS, POPULATION, GENERATIONS = 2, 3, 4
 CACHE = 500_000
 END = 0
+#: How the byte-level alphabet writes the bytes that aren't printable: in order, from 256 on.
+BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+LETTERS = r"|[\\p{L}]+|[\\p{N}]|"
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -55,6 +59,10 @@ class Tokenizer:
         self.library.encode_special_tokens = True
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        # Words of letters go to the model itself if the steps before it are known to leave them whole.
+        steps = json.loads(self.library.to_str())
+        self.direct = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and LETTERS in str((steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern"))
+        self.ends = {e: array("I", self.library.encode(e, add_special_tokens=False).ids).tobytes() for e in ("", ".", ",")}
 
     def _learn(self, words: set[str]) -> None:
         if len(self.young) >= CACHE:
@@ -66,28 +74,27 @@ class Tokenizer:
             else:
                 new.append(w)
         # Letters and what follows them are pieces of their own, so "word." is "word" and ".".
-        stems: dict[str, list[tuple[str, str]]] = {}
         plain = []
         for w in new:
-            stem = w[:-1].lower()
-            if w[-1] in ".," and len(stem) > 1 and stem.isascii() and stem.isalpha():
-                stems.setdefault(stem, []).append((w, w[-1]))
-            elif w.isascii() and w.isalpha():
-                stems.setdefault(w.lower(), []).append((w, ""))
-            else:
+            end = w[-1] if w[-1] in ".," else ""
+            stem = self._stem(w[:-1] if end else w)
+            if stem is None:
                 plain.append(w)
-        todo = plain
-        for stem in stems:
+                continue
             if (v := self.young.get(stem)) is None:
-                todo.append(stem)
-        if todo:
-            for w, e in zip(todo, self.library.encode_batch(todo, add_special_tokens=False), strict=True):
-                self.young[w] = array("I", e.ids).tobytes()
-        for stem, forms in stems.items():
-            for w, end in forms:
-                if end and end not in self.young:
-                    self.young[end] = array("I", self.library.encode(end, add_special_tokens=False).ids).tobytes()
-                self.young[w] = self.young[stem] + (self.young[end] if end else b"")
+                v = self.young[stem] = array("I", [t.id for t in self.library.model.tokenize(stem.encode("utf-8").decode("latin-1").translate(BYTES))]).tobytes()
+            self.young[w] = v + self.ends[end]
+        for w, e in zip(plain, self.library.encode_batch(plain, add_special_tokens=False) if plain else [], strict=True):
+            self.young[w] = array("I", e.ids).tobytes()
+
+    def _stem(self, word: str) -> str | None:
+        """A word of letters alone as the normalizer makes it, which the model can take as it is; None for any other word."""
+        if not self.direct or not word.isalpha():
+            return None
+        if word.isascii():
+            return word.lower()
+        low = "".join([c.lower() for c in word])  # letter by letter, as the library does
+        return low if low.isalpha() and is_normalized("NFC", word) and is_normalized("NFC", low) else None
 
     def batch(self, batch: list[str]) -> list[bytes]:
         """The ids of each text, as unsigned 32-bit integers."""
