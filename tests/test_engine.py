@@ -235,3 +235,24 @@ def test_windows_match_between_batch_and_slides(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 1, 0, 4), "c", "A", 1.0, "u", "s")], "event_ts timestamp, event_type string, product_line string, revenue_amount double, user_id string, session_id string")
     assert streams.window_aggregate(df).count() == 1 and streams.window_aggregate(df, slide="1 minute").count() == 5
     assert EVENT_SCHEMA["event_id"].nullable is False
+
+
+def test_layout_benchmarks(spark, tmp_path):
+    from lodestone.plans import benchmarks as B
+
+    found, report = B.run_all(spark, f"file://{tmp_path}", rows=3000, runs=1)
+    by_name = {r.name: r for r in found}
+    assert len(found) == 4 and "| compaction |" in report
+    assert by_name["zorder_user"].files_after[0] < by_name["zorder_user"].files_before[0]
+    assert by_name["partition_date"].files_after[0] <= 10 and by_name["compaction"].files_after[1] == 4
+
+
+def test_optimize_by_partition(spark, table, people):
+    from lodestone.plans import benchmarks as B
+
+    table.append(people.repartition(3), partition_by=["name"])
+    got = B.optimize_by_partition(table, "name", ["a", "b"])
+    assert set(got) == {"a", "b"} and rows(table.read()) == rows(people)
+    table.view("t_now")
+    assert spark.sql("select count(*) from t_now").first()[0] == 3
+    assert table.freshness("name") == "c"
