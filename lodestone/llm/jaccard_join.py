@@ -32,12 +32,14 @@ texts are read whole; other columns are left out.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import discard, discard_path, like_documents, materialize, materialize_by, texts
@@ -63,6 +65,11 @@ def shingles(text: str, size: int) -> np.ndarray:
     return np.unique(out)
 
 
+def unpack(packed: bytes, size: int) -> np.ndarray:
+    """The shingles of a packed text."""
+    return shingles(zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass"), size)
+
+
 def name_of(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -265,44 +272,52 @@ def _route(size: int, percent: int, held):
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node of each node's component, for the nodes of edges.
 
-    Labels spread along edges and then jump to their label's label, so the
-    rounds grow with the logarithm of a component's width; every round is
-    written to the shared folder.
+    Labels spread along edges and, from the third round on, also jump to their
+    label's label, so the rounds grow with the logarithm of a component's width;
+    every round is written to the shared folder.
     """
     both = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(edges.select(F.col(b).alias("a"), F.col(a).alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    while True:
+    for k in itertools.count():
         heard = both.join(labels, both["a"] == labels["node"]).groupBy(F.col("b").alias("to")).agg(F.min("label").alias("heard"))
-        spread = labels.join(heard, labels["node"] == heard["to"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label"))
-        of = labels.select(F.col("node").alias("via"), F.col("label").alias("root"))
-        new = materialize(spread.join(of, spread["label"] == of["via"], "left").select("node", F.least("label", F.coalesce("root", "label")).alias("label"), "old"), "labels")
-        moved = new.filter("label <> old").limit(1).count()
+        new = labels.join(heard, labels["node"] == heard["to"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label"))
+        if k > 1:  # most components are stars, and done before
+            of = labels.select(F.col("node").alias("via"), F.col("label").alias("root"))
+            new = new.join(of, new["label"] == of["via"], "left").select("node", "old", F.least("label", F.coalesce("root", "label")).alias("label"))
+        seen = Observation()
+        new = materialize(new.observe(seen, F.count(F.when(F.col("label") != F.col("old"), 1)).alias("moved")), "labels")
         discard(labels)
         labels = new.drop("old")
         labels._lodestone_path = new._lodestone_path
-        if not moved:
+        if not seen.get["moved"]:
             discard(both)
             return labels
 
 
-def _chunk_links(percent: int):
-    """Within each chunk: the part of each set, named by its first set, and how large the part is."""
+def _chunk_links(size: int, percent: int):
+    """Within each chunk: the part of each set, named by its first set, and how large the part is; sets of large clusters keep their packed texts."""
 
     def run(batches):
         out = []
-        for (cluster, chunk), rows in _groups(_rows_of(batches, "cluster", "chunk", "name", "tokens"), 2):
-            rows = [r for i, r in enumerate(rows) if not i or r[2] != rows[i - 1][2]]  # a document may be there twice
-            sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        for (cluster, chunk), rows in _groups(_rows_of(batches, "cluster", "chunk", "name", "packed", "is_large"), 2):
+            sets, kept = [], []
+            for r in rows:
+                if kept and kept[-1][2] == r[2]:
+                    continue  # a document that is there twice
+                s = unpack(r[3], size)
+                if len(s) and name_of(s) == r[2]:  # rows of one doc_id may have unlike texts
+                    sets.append(s)
+                    kept.append(r)
             parts = Parts(len(sets))
             if len(sets) > 1:
                 tree = SignatureTree(sets, bitmap_words(sets))
                 traverse(tree, tree, percent, parts, range(len(sets)), range(len(sets)))
             roots = [parts.find(i) for i in range(len(sets))]
-            size: dict[int, int] = {}
+            count: dict[int, int] = {}
             for r in roots:
-                size[r] = size.get(r, 0) + 1
-            out += [(cluster, chunk, r[2], rows[root][2], size[root]) for r, root in zip(rows, roots, strict=True)]
-            if len(out) > 10_000:
+                count[r] = count.get(r, 0) + 1
+            out += [(cluster, chunk, r[2], kept[root][2], count[root], r[3] if r[4] else None) for r, root in zip(kept, roots, strict=True)]
+            if len(out) > 2_000:
                 yield _named(out)
                 out = []
         if out:
@@ -311,29 +326,30 @@ def _chunk_links(percent: int):
     return run
 
 
-LINKED = "cluster long, chunk int, name binary, part binary, part_size int"
+LINKED = "cluster long, chunk int, name binary, part binary, part_size int, packed binary"
 
 
 def _named(rows):
     c = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.int32())], names=["cluster", "chunk", "name", "part", "part_size"])
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["cluster", "chunk", "name", "part", "part_size", "packed"])
 
 
-def _visit(percent: int):
+def _visit(size: int, percent: int):
     """Within each group: which parts of the visitors and of the residents are linked (without residents: of the visitors among them)."""
 
     def run(batches):
-        for _, rows in _groups(_rows_of(batches, "cluster", "chunk", "guest", "part", "tokens"), 2):
-            guests, own = [r for r in rows if r[2]], [r for r in rows if not r[2]]
-            if not guests:
+        for _, rows in _groups(_rows_of(batches, "cluster", "chunk", "guest", "part", "packed"), 2):
+            if not any(r[2] for r in rows):
                 continue
+            sets = [unpack(r[4], size) for r in rows]
+            guests, own = [i for i, r in enumerate(rows) if r[2]], [i for i, r in enumerate(rows) if not r[2]]
             names = sorted({r[3] for r in rows})
             at = {p: i for i, p in enumerate(names)}
-            words = bitmap_words([np.frombuffer(r[4], np.uint64) for r in rows])
-            tree = SignatureTree([np.frombuffer(r[4], np.uint64) for r in guests], words)
-            other = SignatureTree([np.frombuffer(r[4], np.uint64) for r in own], words) if own else tree
+            words = bitmap_words(sets)
+            tree = SignatureTree([sets[i] for i in guests], words)
+            other = SignatureTree([sets[i] for i in own], words) if own else tree
             parts = Parts(len(names))
-            traverse(tree, other, percent, parts, [at[r[3]] for r in guests], [at[r[3]] for r in own or guests])
+            traverse(tree, other, percent, parts, [at[rows[i][3]] for i in guests], [at[rows[i][3]] for i in own or guests])
             pairs = [(names[i], names[parts.find(i)]) for i in range(len(names)) if parts.find(i) != i]
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
@@ -341,25 +357,24 @@ def _visit(percent: int):
     return run
 
 
-def _large_clusters(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(node, label) over the parts of clusters of several chunks. members: cluster, chunk, name, tokens."""
-    sets = materialize(members.join(parts.select("name", "part", "part_size"), "name"), "chunks")
+def _large_clusters(sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, label) over the parts of clusters of several chunks. sets: LINKED."""
     # One set from each of the largest parts of each chunk.
     largest = Window.partitionBy("cluster", "chunk").orderBy(F.col("part_size").desc(), "part")
     heads = sets.filter(F.col("name") == F.col("part")).withColumn("k", F.row_number().over(largest)).filter("k <= 4")
-    hubs = heads.select("cluster", F.lit(0).alias("chunk"), F.lit(True).alias("guest"), "part", "tokens")
-    found = materialize(hubs.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_visit(percent), "a binary, b binary"), "hublinks")
+    hubs = heads.select("cluster", F.lit(0).alias("chunk"), F.lit(True).alias("guest"), "part", "packed")
+    found = materialize(hubs.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_visit(size, percent), "a binary, b binary"), "hublinks")
     labels = connected(found)
-    now = sets.join(labels, sets["part"] == labels["node"], "left").select("cluster", "chunk", "part", "tokens", F.coalesce("label", "part").alias("label"))
+    now = sets.join(labels, sets["part"] == labels["node"], "left").select("cluster", "chunk", "part", "packed", F.coalesce("label", "part").alias("label"))
     # The label of most sets in each cluster; all others visit every chunk.
     count = now.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     most = count.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
     chunks = now.groupBy("cluster").agg(F.max("chunk").alias("last"))
     outside = now.join(most, "cluster").filter("label <> main").join(chunks, "cluster")
-    guests = outside.select("cluster", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("to"), "chunk", "part", "tokens").filter("to <> chunk").select("cluster", F.col("to").alias("chunk"), F.lit(True).alias("guest"), "part", "tokens")
+    guests = outside.select("cluster", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("to"), "chunk", "part", "packed").filter("to <> chunk").select("cluster", F.col("to").alias("chunk"), F.lit(True).alias("guest"), "part", "packed")
     visited = guests.select("cluster", "chunk").distinct()
-    residents = now.join(visited, ["cluster", "chunk"], "left_semi").select("cluster", "chunk", F.lit(False).alias("guest"), "part", "tokens")
-    late = guests.unionByName(residents).repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk").mapInArrow(_visit(percent), "a binary, b binary")
+    residents = now.join(visited, ["cluster", "chunk"], "left_semi").select("cluster", "chunk", F.lit(False).alias("guest"), "part", "packed")
+    late = guests.unionByName(residents).repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk").mapInArrow(_visit(size, percent), "a binary, b binary")
     return connected(found.unionByName(late))
 
 
@@ -399,24 +414,17 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
         for b in batches:
             h = np.asarray(b.column("bit").to_numpy(zero_copy_only=False), np.int64)
             b = b.take(pa.array(np.flatnonzero((known[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))))
-            sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
-            keep = [i for i, x in enumerate(sets) if len(x)]
-            b = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([name_of(sets[i]) for i in keep], pa.binary()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["doc_id", "name", "tokens"])
-
-    sets = rows.select("doc_id", "text", bit.alias("bit")).mapInArrow(set_rows, "doc_id long, name binary, tokens binary")
-    members = sets.join(chunked, ["doc_id", "name"]).select("cluster", "chunk", "name", "tokens", "is_large")
-    has_large = large.limit(1).count() > 0
+            pack = zstandard.ZstdCompressor(level=3).compress
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "packed"])
+
+    # Packed texts are a fraction of their shingles' hashes, so texts move and are shingled where they arrive.
+    packed = rows.select("doc_id", "text", bit.alias("bit")).mapInArrow(set_rows, "doc_id long, packed binary")
+    members = packed.join(chunked, "doc_id").select("cluster", "chunk", "name", "packed", "is_large")
     placed = members.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "name")
-    if has_large:
-        placed, placed_path = materialize_by(placed, "members", "is_large")
-        placed = placed.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "name")
-    parts = materialize(placed.drop("is_large").mapInArrow(_chunk_links(percent), LINKED), "parts")
+    parts = materialize(placed.mapInArrow(_chunk_links(shingle, percent), LINKED), "parts")
     part_of = parts.select("name", "part").distinct()
-    if has_large:
-        in_large = spark.read.schema("cluster long, chunk int, name binary, tokens binary").parquet(f"{placed_path}/is_large=true").dropDuplicates(["name"])
-        labels = _large_clusters(in_large, parts, percent)
-        discard_path(spark, placed_path)
+    if large.limit(1).count():
+        labels = _large_clusters(parts.filter("packed is not null"), shingle, percent)
         part_of = part_of.join(labels, part_of["part"] == labels["node"], "left").select("name", F.coalesce("label", "part").alias("part"))
     first = one.join(part_of, "name", "left").select("name", "doc_id", F.coalesce("part", "name").alias("part"))
     smallest = first.groupBy("part").agg(F.min("doc_id").alias("component_id"))
