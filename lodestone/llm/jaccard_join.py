@@ -3,13 +3,15 @@
 A document's set holds the hashes of its distinct word shingles. The join runs in
 three steps, none of which drops a pair:
 
-1. Routing. Equal sets become one. In any fixed order of shingles two linked sets
-   share one of their first (1 - t) * n + 1, so sets that share such a shingle and
-   a size class are tied, and the components of these ties are the clusters that
-   can hold links. The order puts the shingles of many documents last, so a
-   passage that many documents quote doesn't tie them. Each task first ties its
-   own rows and passes on one row a key, so a frequent key arrives as often as
-   there are tasks.
+1. Routing. Equal sets become one. For thresholds of CLOSE percent or more, linked
+   sets of two neighbouring size classes differ in at most d shingles, so of d + 1
+   parts by hash they have one in common. Below, in any fixed order of shingles
+   linked sets share one of their first (1 - t) * n + 1; the order puts the
+   shingles of many documents last, so a passage that many quote doesn't count.
+   Sets that share such a key and a size class are tied, and the components of
+   these ties are the clusters that can hold links. Each task first ties its own
+   rows and passes on one row a key, so a frequent key arrives as often as there
+   are tasks.
 2. Signature trees. A cluster, or a chunk of a large one, is one tree: leaves are
    sets in an order that brings alike ones together, and each node holds the OR
    of its token bitmaps, its range of sizes and the most tokens that share bits.
@@ -48,6 +50,8 @@ from .common import discard, discard_path, like_documents, materialize, material
 CHUNK, FREQUENT, LOCALLY_FREQUENT = 256, 65_536, 3
 FANOUT = 8
 MEMBER_BITS = 1 << 24
+#: Percent from which a part of a set holds enough shingles (about nine at 90) to stand for it alone.
+CLOSE = 88
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -92,8 +96,29 @@ class Classes:
                 hi = mid
         return lo - 1
 
+    def parted_keys(self, tokens: np.ndarray) -> np.ndarray:
+        """Keys for close thresholds: linked sets of two neighbouring classes differ in at most d shingles, so of d + 1 parts by hash one is equal."""
+        n, out = len(tokens), []
+        c = self.of(n)
+        while len(self.borders) < c + 4:
+            self.borders.append(100 * self.borders[-1] // self.percent + 1)
+        for low in (c - 1, c):
+            if low < 0:
+                continue
+            smaller = self.borders[low + 1] - 1
+            larger = min(self.borders[low + 2] - 1, 100 * smaller // self.percent)
+            d = (smaller + larger) * (100 - self.percent) // (100 + self.percent)
+            if d:  # else only equal sets are linked, and those are one already
+                sums = np.zeros(d + 1, np.uint64)
+                np.add.at(sums, ((tokens >> np.uint64(20)) % np.uint64(d + 1)).astype(np.int64), tokens)
+                h = (sums ^ (np.arange(d + 1, dtype=np.uint64) + np.uint64((low + 1) << 32)) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
+                out.append(h ^ (h >> np.uint64(31)))
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
     def keys(self, tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Keys of a set: its first shingles in the order, with both size classes where it may meet a partner."""
+        """Keys of a set: its parts for close thresholds, else its first shingles in the order, with both size classes where it may meet a partner."""
+        if self.percent >= CLOSE:
+            return self.parted_keys(tokens)
         n = len(tokens)
         at = np.searchsorted(frequent, tokens)
         at[at == len(frequent)] = 0
@@ -382,7 +407,8 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links of at least percent Jaccard similarity) of each row of docs."""
     rows = texts(docs, id_col, text_col)
     spark = docs.sparkSession
-    often = rows.select("text").mapInArrow(_frequent(shingle), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(FREQUENT).toArrow()
+    # Only the order of first shingles needs to know which are frequent.
+    often = rows.select("text").filter(F.lit(percent < CLOSE)).mapInArrow(_frequent(shingle), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(FREQUENT).toArrow()
     token, n = np.asarray(often.column("token").to_numpy(), np.int64).view(np.uint64), np.asarray(often.column("n").to_numpy(), np.int64)
     order = np.argsort(token)
     held = spark.sparkContext.broadcast((token[order], n[order]))
