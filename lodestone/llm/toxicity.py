@@ -1,19 +1,20 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
 
 A bounded sample of labelled documents (at most ``max_examples``) is turned into
-TF-IDF vectors over the terms that the labels bear on, at most ``max_terms``
-words and word beginnings; document frequencies come from all documents. The
-examples lie in blocks of similar examples, and each posting list keeps its
-greatest weight per block. A query visits blocks by descending bound and stops
-when no block can hold a nearer example than the k found, so that its k nearest
-examples are exact. Their similarity-weighted votes, calibrated by leave-one-out
+TF-IDF vectors over all of its words and word beginnings; document frequencies
+come from all documents, and terms that the labels bear on weigh more (``bearing``),
+but none weighs less than its idf or is left out. Terms of few examples have
+posting lists and terms of many are held densely; a query adds up both in full
+for every example, so that its k nearest examples are exact. (Block bounds would
+save little: over whole texts they left about 50 of 125 blocks to visit.) Words
+that no example holds count neither for nor against a similarity. Their similarity-weighted votes, calibrated by leave-one-out
 on the examples, are the score; the nearest examples are the evidence.
 
 Defined cases: null and empty texts, like all texts without a known term, get
 the calibrated rate of such texts; labels that are null or name no document are
 ignored and of several labels on one document the highest holds; without any
-labelled row every score is 0; equal similarities go to the lower position in
-the index; repeated rows are scored each. Columns besides id and text are never
+labelled row every score is 0; similarities equal in 12 places go to the lower
+position in the index; repeated rows are scored each. Columns besides id and text are never
 read for a score.
 """
 
@@ -34,23 +35,26 @@ from .common import texts
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_EXAMPLES = 8_000
-MAX_TERMS = 2_048
 NEIGHBOURS = 15
-BLOCK = 64
+BATCH = 64
 PREFIX = 4
 REJECT_FROM = 0.7
-#: A term counts if it stands in this many examples at least, and that many standard deviations from chance.
-LEAST_SEEN, LEAST_DEVIATION = 6, 5.0
+#: Terms of more than one in COMMON_FROM examples are held densely, the MAX_COMMON most common ones; this changes the speed only.
+COMMON_FROM, MAX_COMMON = 16, 512
+#: So many standard deviations from chance double a term's weight.
+DOUBLE_AT = 4.0
 
 
 def term_counts(text: str) -> Counter:
     return Counter(WORD.findall(text.lower()))
 
 
-def expand(words) -> set[str]:
-    """Words, and the first PREFIX letters of longer ones marked by a star."""
-    out = set(words)
-    out.update(w[:PREFIX] + "*" for w in words if len(w) > PREFIX)
+def expand(counts: Counter) -> Counter:
+    """Counts of words, and of the first PREFIX letters of longer ones marked by a star."""
+    out = Counter(counts)
+    for w, n in counts.items():
+        if len(w) > PREFIX:
+            out[w[:PREFIX] + "*"] += n
     return out
 
 
@@ -59,90 +63,91 @@ def sketch(words: list[str]) -> int:
     return min((zlib.crc32(" ".join(g).encode()) for g in zip(words, words[1:], words[2:], strict=False)), default=zlib.crc32(" ".join(words).encode()))
 
 
-def select_terms(sets: list[set[str]], toxic: list[int], max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms that occur with one label far more often than chance has it, strongest first."""
-    n, p = len(sets), sum(toxic)
-    if not p or p == n:
-        return []
-    seen, hits = Counter(), Counter()
-    for s, y in zip(sets, toxic, strict=True):
-        seen.update(s)
-        if y:
-            hits.update(s)
-    rate, found = p / n, []
-    for t, k in seen.items():
-        if k >= LEAST_SEEN:
-            z = (hits[t] - k * rate) / math.sqrt(k * rate * (1 - rate))
-            if abs(z) >= LEAST_DEVIATION:
-                found.append((-abs(z), t))
-    return [t for _, t in sorted(found)[:max_terms]]
+def bearing(seen: np.ndarray, hits: np.ndarray, n: int, toxic: int) -> np.ndarray:
+    """Factors of terms in seen examples, hits of them toxic, of n examples and toxic ones: 1 at the rate of chance, and rising with the square of the distance from it."""
+    rate = toxic / n if n else 0.0
+    return 1 + (hits - seen * rate) ** 2 / (seen * rate * (1 - rate) + 1) / DOUBLE_AT**2
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples, in blocks, with the greatest weight of each term in each block."""
+    """Unit TF-IDF vectors of examples: posting lists of rare terms, rows of common ones."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: list[dict[int, float]], toxic: list[int], ids: list[int]):
+    def __init__(self, terms: list[str], idf, vectors, toxic: list[int], ids: list[int]):
         self.terms = {t: i for i, t in enumerate(terms)}
-        self.idf = idf
-        unit = []
+        self.idf = np.asarray(idf, np.float64)  # or other weights
+        self.beginning = np.array([self.terms.get(t[:PREFIX] + "*", -1) if len(t) > PREFIX and t[-1] != "*" else -1 for t in terms], np.int32)
+        m, unit = len(terms), []
         for v, y, i in zip(vectors, toxic, ids, strict=True):
             if v:
-                unit.append((sorted(v, key=lambda t: -v[t])[:2], y, i, v))
-        unit.sort(key=lambda x: (x[0], x[1], x[2]))  # alike examples share a block
-        self.toxic = np.array([x[1] for x in unit], np.float64)
-        self.ids = np.array([x[2] for x in unit], np.int64)
-        n, m = len(unit), len(terms)
-        self.blocks = (n + BLOCK - 1) // BLOCK
-        self.max = np.zeros((m, self.blocks), np.float32)
-        postings = [[] for _ in range(self.blocks)]
-        for k, (_, _, _, v) in enumerate(unit):
-            for t, w in v.items():
-                postings[k // BLOCK].append((t, k % BLOCK, w))
-                self.max[t, k // BLOCK] = max(self.max[t, k // BLOCK], np.float32(w) * np.float32(1 + 1e-6))
-        self.postings = []  # per block: where each term's postings begin, the examples, the weights
-        for p in postings:
-            p.sort()
-            t = np.array([x[0] for x in p], np.int32)
-            self.postings.append((np.searchsorted(t, np.arange(m + 1)).astype(np.int32), np.array([x[1] for x in p], np.int64), np.array([x[2] for x in p], np.float64)))
-
-    def vector(self, counts: Counter) -> dict[int, float]:
-        """The unit vector of a text's word counts over the index terms."""
-        tf: dict[int, int] = {}
+                unit.append((y, i, np.fromiter(v, np.int32, len(v)), np.fromiter(v.values(), np.float64, len(v))))
+        n = len(unit)
+        seen = np.bincount(np.concatenate([x[2] for x in unit]), minlength=m) if unit else np.zeros(m, np.int64)
+        common = [t for t in np.argsort(-seen, kind="stable")[:MAX_COMMON] if seen[t] * COMMON_FROM > n]
+        self.slot = np.full(m, -1, np.int32)
+        self.slot[common] = np.arange(len(common))
+
+        unit.sort(key=lambda x: (x[0], x[1]))
+        self.toxic = np.array([x[0] for x in unit], np.float64)
+        self.ids = np.array([x[1] for x in unit], np.int64)
+        self.common = np.zeros((len(common), n))
+        rare = []
+        for k, (_, _, ts, ws) in enumerate(unit):
+            s = self.slot[ts]
+            self.common[s[s >= 0], k] = ws[s >= 0]
+            rare.append((ts[s < 0], np.full(int((s < 0).sum()), k, np.int32), ws[s < 0]))
+        ts, who, ws = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
+        order = np.argsort(ts, kind="stable")
+        self.who, self.weight = who[order], ws[order]
+        self.begin = np.searchsorted(ts[order], np.arange(m + 1)).astype(np.int32)
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vector of a text's word counts over the index terms: rising terms, and their weights."""
         find = self.terms.get
-        for w, n in counts.items():
-            if (t := find(w)) is not None:
-                tf[t] = tf.get(t, 0) + n
-            if len(w) > PREFIX and (t := find(w[:PREFIX] + "*")) is not None:
-                tf[t] = tf.get(t, 0) + n
-        return self.weigh(tf)
+        ns = np.fromiter(counts.values(), np.int64, len(counts))
+        ts = np.array([find(w, -1) for w in counts], np.int32)
+        heads = np.where(ts >= 0, self.beginning[ts], -1) if len(self.terms) else ts
+        new = [(k, t) for k, (t, w) in enumerate(zip(ts.tolist(), counts, strict=True)) if t < 0 and len(w) > PREFIX for t in (find(w[:PREFIX] + "*", -1),)]
+        if new:
+            heads[[k for k, _ in new]] = [t for _, t in new]
+        ts, ns = np.concatenate([ts, heads]), np.concatenate([ns, ns])
+        ns = ns[ts >= 0]
+        ts, place = np.unique(ts[ts >= 0], return_inverse=True)
+        v = (1 + np.log(np.bincount(place, ns, len(ts)))) * self.idf[ts]
+        return ts, v / math.sqrt(v @ v) if len(ts) else v
 
     def weigh(self, tf: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in tf.items()}
+        v = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in tf.items()}
         norm = math.sqrt(sum(w * w for w in v.values()))
         return {t: w / norm for t, w in v.items()} if norm else {}
 
     def nearest(self, q: dict[int, float], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
         """(similarity, position) of the k nearest examples with a similarity above 0, exactly; without: an id to leave out."""
-        if not q or not self.blocks:
-            return []
-        ts = sorted(q)
-        qs = np.array([q[t] for t in ts])
-        bounds = qs @ self.max[ts]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] < -best[-1][0]):
-                break
-            begin, who, weight = self.postings[b]
-            score = np.zeros(BLOCK)
-            for t, w in zip(ts, qs, strict=True):
-                x, y = begin[t], begin[t + 1]
-                if x < y:
-                    score[who[x:y]] += w * weight[x:y]
-            at = np.flatnonzero(score > 0)
-            if len(at):
-                best += [(-score[i], int(b) * BLOCK + int(i)) for i in at if without is None or self.ids[int(b) * BLOCK + int(i)] != without]
-                best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+        ts = np.array(sorted(q), np.int64)
+        return self.near([(ts, np.array([q[t] for t in ts.tolist()], np.float64))], k, [without])[0]
+
+    def near(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list | None = None) -> list[list[tuple[float, int]]]:
+        """nearest() of each of some vectors of rising terms and their weights."""
+        n = len(self.ids)
+        if not n:
+            return [[] for _ in queries]
+        slots = [self.slot[ts] for ts, _ in queries]
+        held = np.zeros((len(queries), len(self.common)))
+        for row, slot, (_, qs) in zip(held, slots, queries, strict=True):
+            row[slot[slot >= 0]] = qs[slot >= 0]
+        out = []
+        for j, (score, slot, (ts, qs)) in enumerate(zip(held @ self.common, slots, queries, strict=True)):
+            rare = ts[slot < 0]
+            begin, size = self.begin[rare], self.begin[rare + 1] - self.begin[rare]
+            at = np.repeat(begin - np.cumsum(size, dtype=np.int32) + size, size) + np.arange(size.sum(), dtype=np.int32)
+            score += np.bincount(self.who[at], self.weight[at] * np.repeat(qs[slot < 0], size), n)
+            if without is not None and without[j] is not None:
+                score[self.ids == without[j]] = 0.0
+            least = np.partition(score, -k)[-k] - 1e-9 if n > k else 0.0
+            at = np.flatnonzero((score >= least) & (score > 0))
+            found = np.round(score[at], 12)
+            best = np.lexsort((at, -found))[:k]
+            out.append([(float(found[i]), int(at[i])) for i in best if found[i] > 0])
+        return out
 
     def vote(self, near: list[tuple[float, int]], prior: float, weight: float = 0.25) -> float:
         """Labels weighted by the cube of the similarity, drawn to prior where nothing is near."""
@@ -157,14 +162,21 @@ class Model:
         self.index, self.bare, self.prior, self.steps = index, bare, prior, steps
 
     def score(self, text: str) -> tuple[float, list[tuple[int, float]]]:
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Score and evidence of each text."""
         if self.index is None:
-            return self.bare, []
-        q = self.index.vector(term_counts(text))
-        if not q:
-            return self.bare, []
-        near = self.index.nearest(q)
-        raw = self.index.vote(near, self.prior)
-        return float(np.interp(raw, *self.steps)), [(int(self.index.ids[i]), s) for s, i in near[:3]]
+            return [(self.bare, []) for _ in texts]
+        out = []
+        for a in range(0, len(texts), BATCH):
+            queries = [self.index.vector(term_counts(t)) for t in texts[a : a + BATCH]]
+            for (ts, _), near in zip(queries, self.index.near(queries), strict=True):
+                if len(ts):
+                    out.append((float(np.interp(self.index.vote(near, self.prior), *self.steps)), [(int(self.index.ids[i]), s) for s, i in near[:3]]))
+                else:
+                    out.append((self.bare, []))
+        return out
 
 
 def calibrate(raw: list[float], toxic: list[int]) -> tuple[list[float], list[float]]:
@@ -181,55 +193,63 @@ def calibrate(raw: list[float], toxic: list[int]) -> tuple[list[float], list[flo
     return ([0.0, *xs, 1.0], [min(ys[0], 0.01) if ys else 0.0, *ys, ys[-1] if ys else 1.0])
 
 
-def train(rows: list[tuple[int, int, list[str], dict[str, int]]], document_frequency, n_docs: int, terms: list[str]) -> Model:
-    """Model of rows (id, toxic, _, counts of known terms). document_frequency: of each of terms."""
+def train(rows: list[tuple[int, int, Counter]], frequency: np.ndarray, n_docs: int, terms: list[str]) -> Model:
+    """Model of rows (id, toxic, word counts). frequency: in how many documents each of terms stands.
+
+    For the calibration an example is a query from whose term weights its own label is taken out.
+    """
     if not rows:
         return Model(None, 0.0, 0.0, ([0.0, 1.0], [0.0, 1.0]))
     toxic = [r[1] for r in rows]
-    prior = sum(toxic) / len(toxic)
-    at = {t: i for i, t in enumerate(terms)}
-    idf = np.array([math.log((1 + n_docs) / (1 + document_frequency.get(t, 0))) + 1 for t in terms])
-    blank = BlockMaxIndex(terms, idf, [], [], [])
-    vectors = [blank.weigh({at[t]: n for t, n in r[3].items()}) for r in rows]
-    index = BlockMaxIndex(terms, idf, vectors, toxic, [r[0] for r in rows])
-    bare = [y for v, y in zip(vectors, toxic, strict=True) if not v]
-    raw, labels = [], []
-    for r, v, y in zip(rows, vectors, toxic, strict=True):
-        if v:
-            raw.append(index.vote(index.nearest(v, without=r[0]), prior))
-            labels.append(y)
+    n, p = len(rows), sum(toxic)
+    prior = p / n
+    find = {t: i for i, t in enumerate(terms)}
+    idf = np.log((1 + n_docs) / (1 + frequency)) + 1
+    seen, hits, held = np.zeros(len(terms)), np.zeros(len(terms)), []
+    for _, y, counts in rows:
+        tf = expand(counts)
+        ts, tf = np.array([find[t] for t in tf], np.int32), 1 + np.log(np.array([*tf.values()], np.float64))
+        order = np.argsort(ts)
+        ts, tf = ts[order], tf[order]
+        seen[ts] += 1
+        hits[ts] += y
+        held.append((ts, tf))
+
+    def unit(ts, tf, weights):
+        v = tf * weights
+        return ts, v / np.sqrt(v @ v) if len(ts) else v
+
+    weights = idf * bearing(seen, hits, n, p)
+    index = BlockMaxIndex(terms, weights, (dict(zip(*unit(ts, tf, weights[ts]), strict=True)) for ts, tf in held), toxic, [r[0] for r in rows])
+    bare = [y for y, (ts, _) in zip(toxic, held, strict=True) if not len(ts)]
+    some = [(r[0], r[1], ts, tf) for r, (ts, tf) in zip(rows, held, strict=True) if len(ts)]
+    raw = []
+    for a in range(0, len(some), BATCH):
+        part = some[a : a + BATCH]
+        queries = [unit(ts, tf, idf[ts] * bearing(seen[ts] - 1, hits[ts] - y, n - 1, p - y)) for _, y, ts, tf in part]
+        raw += [index.vote(near, prior) for near in index.near(queries, without=[x[0] for x in part])]
+    labels = [x[1] for x in some]
     return Model(index, (sum(bare) + prior) / (len(bare) + 1), prior, calibrate(raw, labels))
 
 
-def _known_counts(counts: Counter, terms: dict) -> dict[str, int]:
-    tf: dict[str, int] = {}
-    for w, n in counts.items():
-        if w in terms:
-            tf[w] = tf.get(w, 0) + n
-        if len(w) > PREFIX and (p := w[:PREFIX] + "*") in terms:
-            tf[p] = tf.get(p, 0) + n
-    return tf
-
-
-def _frequencies(terms: dict):
-    """Per partition: in how many texts each known term stands, and how many texts there are (term '')."""
+def _frequencies(held):
+    """Per partition: in how many texts the term of each place in the held terms stands, and how many texts there are (place -1)."""
 
     def run(batches):
-        seen = Counter()
+        places, seen, n = held.value, Counter(), 0
         for b in batches:
             for t in b.column("text").to_pylist():
                 words = set(WORD.findall(t.lower()))
-                found = words & terms.keys()
-                found.update(p for w in words if len(w) > PREFIX and (p := w[:PREFIX] + "*") in terms)
-                seen.update(found)
-                seen[""] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+                words.update([w[:PREFIX] + "*" for w in words if len(w) > PREFIX])
+                seen.update(words & places.keys())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *map(places.get, seen)], pa.int32()), pa.array([n, *seen.values()], pa.int64())], names=["term", "n"])
 
     return run
 
 
 def _examples(batches):
-    """Each labelled text as its expanded term set's counts and its sketch, so that the driver gets no texts."""
+    """Each labelled text as its word counts and its sketch, so that the driver gets no texts."""
     for b in batches:
         out = []
         for t in b.column("text").to_pylist():
@@ -239,10 +259,10 @@ def _examples(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.string())), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["doc_id", "toxic", "sketch", "words", "counts"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     """Learn from labels (doc_id, toxic): a sample of max_examples rows at most, the first by a hash of doc_id; corpus figures from all docs.
 
-    The sample is bounded, so the driver holds at most max_examples word lists.
+    The sample is bounded, so the driver holds at most max_examples word lists, and their vocabulary may be broadcast.
     """
     corpus = texts(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -254,16 +274,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
         for r in b.to_pylist():
             key = (r["sketch"], r["toxic"])
             if key not in by_sketch or r["doc_id"] < by_sketch[key][0]:  # one example of a group of near copies
-                by_sketch[key] = (r["doc_id"], r["toxic"], [sys.intern(w) for w in r["words"]], r["counts"])
+                by_sketch[key] = (r["doc_id"], r["toxic"], Counter(dict(zip(map(sys.intern, r["words"]), r["counts"], strict=True))))
     rows = sorted(by_sketch.values(), key=lambda x: x[0])
-    terms = select_terms([expand(r[2]) for r in rows], [r[1] for r in rows], max_terms)
-    lookup = dict.fromkeys(terms)
-    rows = [(i, y, [], _known_counts(Counter(dict(zip(w, c, strict=True))), lookup)) for i, y, w, c in rows]
-    frequency, n_docs = {}, 0
+    terms = sorted(set().union(*(expand(r[2]) for r in rows)))
+    frequency, n_docs = np.zeros(len(terms)), 0
     if terms:
-        counted = {r["term"]: r["n"] for r in corpus.select("text").mapInArrow(_frequencies(lookup), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        n_docs = counted.pop("", 0)
-        frequency = counted
+        places = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+        counted = corpus.select("text").mapInArrow(_frequencies(places), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        at, n = counted["term"].to_numpy(), counted["n"].to_numpy()
+        n_docs = int(n[at < 0].sum())
+        frequency[at[at >= 0]] = n[at >= 0]
     return train(rows, frequency, n_docs, terms)
 
 
@@ -274,7 +294,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = held.value
         for b in batches:
-            found = [m.score(t) for t in b.column("text").to_pylist()]
+            found = m.scores(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([min(1.0, max(0.0, s)) for s, _ in found], pa.float64()), pa.array([",".join(f"{i}:{x:.4f}" for i, x in e) for _, e in found], pa.string())], names=["doc_id", "score", "evidence"]
             )
@@ -294,7 +314,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, reject_from: float = REJECT_F
     def run(batches):
         m = held.value
         for b in batches:
-            kept = [m.score(t or "")[0] < reject_from for t in b.column("text").to_pylist()]
+            kept = [x < reject_from for x, _ in m.scores([t or "" for t in b.column("text").to_pylist()])]
             yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -364,6 +364,28 @@ def test_toxicity_index_is_exact():
         assert [s for s, _ in got] == pytest.approx([s for s in all_ if s > 0])
 
 
+def test_toxicity_uses_every_word(spark):
+    """Words seen in one example only count; the neighbours are those of a plain cosine over all terms."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"{chr(97 + x % 26)}{chr(97 + x // 26)}" for x in rng.integers(0, 400, 30))) for i in range(40)]
+    rows.append((100, rows[3][1] + " xy"))  # near copy of a toxic example
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 3)) for i in range(40)], "doc_id long, toxic int"))
+    words = [set(toxicity.expand(toxicity.term_counts(t))) for _, t in rows[:40]]
+    assert set(model.index.terms) == set().union(*words)
+    score, evidence = model.score(rows[-1][1])
+    assert evidence[0][0] == 3 and evidence[0][1] > 0.9
+
+    def vector(t):
+        v = {w: (1 + np.log(n)) * model.index.idf[model.index.terms[w]] for w, n in toxicity.expand(toxicity.term_counts(t)).items() if w in model.index.terms}
+        return {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+
+    for _, t in rows[::8]:
+        q, all_ = vector(t), [vector(x) for _, x in rows[:40]]
+        want = sorted((sum(x * v.get(w, 0.0) for w, x in q.items()) for v in all_), reverse=True)[:3]
+        assert [s for _, s in model.score(t)[1]] == pytest.approx(want)
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
