@@ -32,14 +32,17 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 P_SCOPE = frozenset("html body table td th caption button object article section div main aside li".split())
 SAME_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 KIND_SCOPE = frozenset("ul ol dl table select menu body html".split())
-# Page furniture by element, role and class or id word.
+# Page furniture by element, role and whole class or id.
 DROPPED = frozenset("nav footer aside form button select menu dialog object embed canvas audio video head label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|sidebar|widget|footer|header|masthead|breadcrumbs?"
-    r"|cookies?|consent|notice|newsletter|subscribe|share|sharing|social|comments?|commentlist|disqus|repl(?:y|ies)|related|popup|modal|overlay|login|signup|pagination|toolbar)(?:$|[\s_-])",
+    r"(?:(?:site|main|top|bottom|left|right|primary|secondary|global)[_-])?"
+    r"(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav|navbar|navigation|menu|sidebar|widget|footer|header|masthead|breadcrumbs?"
+    r"|cookies?|consent|notice|newsletter|subscribe|share|sharing|social|comments?|commentlist|disqus|repl(?:y|ies)|related|popup|modal|overlay|login|signup|pagination|toolbar)"
+    r"(?:[_-](?:wrapper|wrap|container|box|bar|area|list|links|buttons|left|right|top|bottom|\d+))?",
     re.I,
 )
+NAMED = "named"  # by class or id: dropped unless it holds the page's content
 KEPT = frozenset("html body article main".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -55,7 +58,8 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
 
 
-def _furniture(tag: str, attrs: str, inside_article: bool) -> bool:
+def _furniture(tag: str, attrs: str, inside_article: bool) -> bool | str:
+    named: bool | str = False
     if tag in DROPPED or (tag == "header" and not inside_article):
         return True
     if not attrs or attrs.isspace():
@@ -67,17 +71,39 @@ def _furniture(tag: str, attrs: str, inside_article: bool) -> bool:
             if name == "role":
                 if value.strip().lower() in ROLES:
                     return True
-            elif tag not in KEPT and FURNITURE.search(value):
-                return True
+            elif tag not in KEPT and any(FURNITURE.fullmatch(x) for x in value.split()):
+                named = NAMED
         elif name == "hidden" and tag not in KEPT:
             return True
-    return False
+    return named
+
+
+def _spare(root: Node) -> None:
+    """Of nodes that are furniture by name, keep those that hold an article or main element or, on pages without one, more than half of the text: density decides on them."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += [k for k in x.kids if not isinstance(k, str) and k.dropped is not True]
+    held = {}
+    for x in reversed(order):
+        chars, content = 0, False
+        for k in x.kids:
+            if isinstance(k, str):
+                chars += len(" ".join(k.split()))
+            elif k.dropped is not True:
+                chars, content = chars + held[id(k)][0], content or held[id(k)][1]
+        held[id(x)] = chars, content or (chars > 0 and x.tag in ("article", "main"))
+    most, marked = held[id(root)]
+    for x in order:
+        if x.dropped and (held[id(x)][1] or (not marked and 2 * held[id(x)][0] > most)):
+            x.dropped = False
 
 
 def parse(page: str) -> Node:
     """The page's DOM under a root node; furniture is marked as dropped."""
     root = Node("html", None, False)
-    stack, articles = [root], 0
+    stack, articles, named = [root], 0, False
     at, end, lower = 0, len(page), None
 
     def pop_to(k):
@@ -135,9 +161,12 @@ def parse(page: str) -> Node:
         parent = stack[-1]
         node = Node(tag, parent, _furniture(tag, m[3], articles > 0))
         parent.kids.append(node)
+        named = named or node.dropped is NAMED
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
             articles += tag in ("article", "main")
+    if named:
+        _spare(root)
     return root
 
 

@@ -410,6 +410,13 @@ def test_html(page, text):
     assert html_extraction.extract(page) == text
 
 
+@pytest.mark.parametrize("name", ["site-content has-sidebar", "no-sidebar", "post comments-open", "elementor-widget-text-editor", "widget-content", "social-science", "entry-header", "widget"])
+def test_html_keeps_content_whatever_its_class(name):
+    story = "Long text of the story here, with many words in it."
+    assert html_extraction.extract(f"<body><div class='{name}'><article><p>{story}</p></article></div><div class='sidebar'><p>Aside</p></div></body>") == story
+    assert html_extraction.extract(f"<body><div id='{name.split()[0]}'><p>{story}</p></div><div class='x site-footer'><p>Aside</p></div></body>") == story
+
+
 def test_html_on_pages(spark, sf):
     import html
 
