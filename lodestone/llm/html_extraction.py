@@ -26,14 +26,16 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noscript noframes xmp template svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title iframe noscript noframes xmp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom semantics svg g path use circle ellipse line polyline polygon rect defs tspan".split()
+)
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split())
 P_SCOPE = frozenset("html body table td th caption button object article section div main aside li".split())
 SAME_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 KIND_SCOPE = frozenset("ul ol dl table select menu body html".split())
 # Page furniture by element, role and whole class or id.
-DROPPED = frozenset("nav footer aside form button select menu dialog object embed canvas audio video head label fieldset".split())
+DROPPED = frozenset("nav footer aside form button select menu dialog object embed canvas audio video head label fieldset template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 FURNITURE = re.compile(
     r"(?:(?:site|main|top|bottom|left|right|primary|secondary|global)[_-])?"

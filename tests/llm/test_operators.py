@@ -417,6 +417,18 @@ def test_html_keeps_content_whatever_its_class(name):
     assert html_extraction.extract(f"<body><div id='{name.split()[0]}'><p>{story}</p></div><div class='x site-footer'><p>Aside</p></div></body>") == story
 
 
+@pytest.mark.parametrize("icon", ["<svg class='i'/>", "<svg class='i' />", "<math/>", "<svg><path d='M0 0'/></svg>"])
+def test_html_goes_on_after_an_icon(icon):
+    a, b = "Long text of the story here, with many words in it.", "And a second part of it, long as well."
+    for rest in ("", "<svg><use href='#x'/></svg><math></math>"):
+        assert html_extraction.extract(f"<body><article>{icon}<p>{a}</p>{rest}<p>{b}</p></article></body>") == f"{a} {b}"
+
+
+def test_html_keeps_formulas():
+    page = "<body><article><p>Let <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> be so.</p><template><p>not shown</p></template></article></body>"
+    assert html_extraction.extract(page) == "Let x=2 be so."
+
+
 def test_html_on_pages(spark, sf):
     import html
 
