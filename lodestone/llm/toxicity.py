@@ -20,10 +20,10 @@ read for a score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import sys
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -58,9 +58,9 @@ def expand(counts: Counter) -> Counter:
     return out
 
 
-def sketch(words: list[str]) -> int:
-    """Smallest hash of the three-word shingles: near copies mostly share it."""
-    return min((zlib.crc32(" ".join(g).encode()) for g in zip(words, words[1:], words[2:], strict=False)), default=zlib.crc32(" ".join(words).encode()))
+def sketch(words: list[str]) -> str:
+    """A hash that texts of the same words in the same order share."""
+    return hashlib.sha256(" ".join(words).encode()).hexdigest()
 
 
 def bearing(seen: np.ndarray, hits: np.ndarray, n: int, toxic: int) -> np.ndarray:
@@ -236,14 +236,24 @@ def _frequencies(held):
     """Per partition: in how many texts the term of each place in the held terms stands, and how many texts there are (place -1)."""
 
     def run(batches):
-        places, seen, n = held.value, Counter(), 0
+        places, beginning = held.value
+        find, seen, n = places.get, np.zeros(len(places), np.int64), 0
         for b in batches:
+            found = []
             for t in b.column("text").to_pylist():
-                words = set(WORD.findall(t.lower()))
-                words.update([w[:PREFIX] + "*" for w in words if len(w) > PREFIX])
-                seen.update(words & places.keys())
+                heads = set()
+                for w in set(WORD.findall(t.lower())):
+                    if (p := find(w)) is not None:
+                        found.append(p)
+                        heads.add(beginning[p])
+                    elif len(w) > PREFIX:
+                        heads.add(find(w[:PREFIX] + "*"))
+                heads.discard(None)
+                found += heads
                 n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *map(places.get, seen)], pa.int32()), pa.array([n, *seen.values()], pa.int64())], names=["term", "n"])
+            seen += np.bincount(np.array(found, np.int64), minlength=len(places))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], n), pa.int64())], names=["term", "n"])
 
     return run
 
@@ -256,30 +266,35 @@ def _examples(batches):
             words = WORD.findall(t.lower())
             counts = Counter(words)
             out.append((sketch(words), [*counts], [*counts.values()]))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.string())), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["doc_id", "toxic", "sketch", "words", "counts"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.string())), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["doc_id", "toxic", "sketch", "words", "counts"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     """Learn from labels (doc_id, toxic): a sample of max_examples rows at most, the first by a hash of doc_id; corpus figures from all docs.
 
+    Of examples of the same words in the same order and the same label one stays.
     The sample is bounded, so the driver holds at most max_examples word lists, and their vocabulary may be broadcast.
     """
     corpus = texts(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.join(corpus.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     # The ids of the sample are at most max_examples, so they may be broadcast; the texts stay where they are.
-    chosen = corpus.join(F.broadcast(sample), "doc_id").mapInArrow(_examples, "doc_id long, toxic int, sketch long, words array<string>, counts array<long>")
-    by_sketch: dict[tuple[int, int], tuple] = {}
+    chosen = corpus.join(F.broadcast(sample), "doc_id").mapInArrow(_examples, "doc_id long, toxic int, sketch string, words array<string>, counts array<long>")
+    by_sketch: dict[tuple[str, int], tuple] = {}
     for b in chosen.toArrow().to_batches(max_chunksize=500):
         for r in b.to_pylist():
             key = (r["sketch"], r["toxic"])
-            if key not in by_sketch or r["doc_id"] < by_sketch[key][0]:  # one example of a group of near copies
+            if key not in by_sketch or r["doc_id"] < by_sketch[key][0]:  # one example of equal texts and labels
                 by_sketch[key] = (r["doc_id"], r["toxic"], Counter(dict(zip(map(sys.intern, r["words"]), r["counts"], strict=True))))
     rows = sorted(by_sketch.values(), key=lambda x: x[0])
-    terms = sorted(set().union(*(expand(r[2]) for r in rows)))
+    vocabulary: set[str] = set()
+    for r in rows:
+        vocabulary.update(expand(r[2]))
+    terms = sorted(vocabulary)
     frequency, n_docs = np.zeros(len(terms)), 0
     if terms:
-        places = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+        find = {t: i for i, t in enumerate(terms)}
+        places = docs.sparkSession.sparkContext.broadcast((find, [find.get(t[:PREFIX] + "*") if len(t) > PREFIX and t[-1] != "*" else None for t in terms]))
         counted = corpus.select("text").mapInArrow(_frequencies(places), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         at, n = counted["term"].to_numpy(), counted["n"].to_numpy()
         n_docs = int(n[at < 0].sum())

@@ -386,6 +386,20 @@ def test_toxicity_uses_every_word(spark):
         assert [s for _, s in model.score(t)[1]] == pytest.approx(want)
 
 
+def test_toxicity_keeps_examples_that_share_a_passage(spark):
+    """Only equal texts of equal label are one example, and document frequencies are those of all rows."""
+    shared = "one passage that many share "
+    rows = [(i, shared + " ".join(f"w{chr(97 + i)}{chr(97 + j)}xy" for j in range(20))) for i in range(12)]
+    rows += [(12, rows[0][1]), (13, rows[1][1].replace("share", "share,")), (14, rows[2][1]), (50, "share unseen passages"), (51, "")]
+    labels = spark.createDataFrame([(i, int(i == 14)) for i in range(15)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert sorted(model.index.ids.tolist()) == [*range(12), 14]
+    seen = {w: sum(w in toxicity.expand(toxicity.term_counts(t)) for _, t in rows) for w in ("share", "shar*", "pass*", "passage", "waaxy")}
+    bearing = toxicity.bearing(*(np.array(x) for x in zip(*[(sum(w in toxicity.expand(toxicity.term_counts(rows[i][1])) for i in [*range(12), 14]), int(w != "waaxy")) for w in seen], strict=True)), 13, 1)
+    for (w, n), x in zip(seen.items(), bearing, strict=True):
+        assert model.index.idf[model.index.terms[w]] == pytest.approx((np.log((1 + len(rows)) / (1 + n)) + 1) * x)
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
