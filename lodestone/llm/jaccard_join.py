@@ -5,13 +5,15 @@ three steps, none of which drops a pair:
 
 1. Routing. Equal sets become one. For thresholds of CLOSE percent or more, linked
    sets of two neighbouring size classes differ in at most d shingles, so of d + 1
-   parts by hash they have one in common. Below, in any fixed order of shingles
-   linked sets share one of their first (1 - t) * n + 1; the order puts the
-   shingles of many documents last, so a passage that many quote doesn't count.
-   Sets that share such a key and a size class are tied, and the components of
-   these ties are the clusters that can hold links. Each task first ties its own
-   rows and passes on one row a key, so a frequent key arrives as often as there
-   are tasks.
+   parts by hash they have one in common; where that part can be an empty one, they
+   are parted by further hashes. Below, in any fixed order of shingles linked sets
+   share one of their first (1 - t) * n + 1; the order puts the shingles of many
+   documents last, so a passage that many quote doesn't count. Sets that share such
+   a key and a size class are tied, and the components of these ties are the
+   clusters that can hold links. Each block of rows first ties its own sets and
+   passes on one (key, tied sets) pair a key, packed with others of its bucket of
+   keys; a bucket gives a star for each group of tied sets. So a frequent key arrives
+   as often as there are blocks, and ties grow with the sets, never with their pairs.
 2. Signature trees. A cluster, or a chunk of a large one, is one tree: leaves are
    sets in an order that brings alike ones together, and each node holds the OR
    of its token bitmaps, its range of sizes and the most tokens that share bits.
@@ -20,15 +22,19 @@ three steps, none of which drops a pair:
    all that it holds is linked already. What is left at the leaves is compared
    exactly.
 3. Large clusters. Chunks hold about the square root of the cluster's sets. The
-   largest parts of every chunk are compared by one set each; after that only
-   sets outside the cluster's largest part visit the other chunks, so pairs that
-   are known to be connected are never met again, and every other pair is.
+   largest parts of 16 neighbouring chunks, of 16 such groups and so on are compared
+   by one set each; after that only sets outside the cluster's largest part visit
+   the other chunks, so pairs that are known to be connected are never met again,
+   and every other pair is. No task gets a whole cluster.
 
 Defined cases: a null text, or one without words, has an empty set, links with
 nothing and is its own component; fewer words than a shingle has make one; equal
 sets are linked; repeated rows are returned each, and rows of one doc_id with
-unlike texts count as documents that share a name; an empty table gives no rows;
-texts are read whole; other columns are left out.
+unlike texts count as documents that share a name; rows without a doc_id take part
+like others, and a component's id is its smallest doc_id that isn't null (null if
+it has none); an empty table gives no rows; texts are read whole; other columns are
+left out. docs is read twice and has to give the same rows both times (a table, not
+a random sample).
 """
 
 from __future__ import annotations
@@ -36,22 +42,28 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import discard, discard_path, like_documents, materialize, materialize_by, texts
 
-#: Sets in a chunk at least; shingles that may be put last (their number bounds the broadcast); copies in a task from which one counts as frequent there.
+#: Sets in a chunk at least; shingles that may be put last (their number bounds the broadcast); copies in a block from which one counts as frequent there.
 CHUNK, FREQUENT, LOCALLY_FREQUENT = 256, 65_536, 3
 FANOUT = 8
 MEMBER_BITS = 1 << 24
-#: Percent from which a part of a set holds enough shingles (about nine at 90) to stand for it alone.
-CLOSE = 88
+#: Percent from which a part of a set holds enough shingles (about nine at 90) to stand for it alone, and by how many hashes sets with empty parts are parted.
+CLOSE, PARTINGS = 88, 4
+#: A block of rows holds about so many keys (or shingles, when these are counted), and fewer sets than SETS; input bytes to a bucket of keys, and the range of their number.
+BLOCK_KEYS, SETS, BUCKET_BYTES, BUCKETS = 3_000_000, 1 << 22, 4 << 20, (8, 18)
+#: Groups of chunks whose largest parts meet, how many of each, and how often groups are grouped again (16 ** 6 chunks at least cover any cluster).
+GROUP, HEADS, LEVELS = 16, 4, 6
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -97,7 +109,11 @@ class Classes:
         return lo - 1
 
     def parted_keys(self, tokens: np.ndarray) -> np.ndarray:
-        """Keys for close thresholds: linked sets of two neighbouring classes differ in at most d shingles, so of d + 1 parts by hash one is equal."""
+        """Keys for close thresholds: linked sets of two neighbouring classes differ in at most d shingles, so of d + 1 parts by hash one is equal.
+
+        Where that part is empty in both sets, both are parted again by another
+        hash; after PARTINGS hashes the empty parts are keys themselves.
+        """
         n, out = len(tokens), []
         c = self.of(n)
         while len(self.borders) < c + 4:
@@ -108,11 +124,19 @@ class Classes:
             smaller = self.borders[low + 1] - 1
             larger = min(self.borders[low + 2] - 1, 100 * smaller // self.percent)
             d = (smaller + larger) * (100 - self.percent) // (100 + self.percent)
-            if d:  # else only equal sets are linked, and those are one already
+            if not d:  # only equal sets are linked, and those are one already
+                continue
+            for k in range(PARTINGS):
+                part = ((tokens * np.uint64(2 * k + 1) >> np.uint64(20 + k)) % np.uint64(d + 1)).astype(np.int64)
                 sums = np.zeros(d + 1, np.uint64)
-                np.add.at(sums, ((tokens >> np.uint64(20)) % np.uint64(d + 1)).astype(np.int64), tokens)
-                h = (sums ^ (np.arange(d + 1, dtype=np.uint64) + np.uint64((low + 1) << 32)) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
-                out.append(h ^ (h >> np.uint64(31)))
+                np.add.at(sums, part, tokens)
+                h = (sums ^ (np.arange(d + 1, dtype=np.uint64) + np.uint64((low + 1) * PARTINGS + k << 32)) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(31)
+                filled = np.bincount(part, minlength=d + 1) > 0
+                if filled.all():
+                    out.append(h)
+                    break
+                out.append(h if k == PARTINGS - 1 else h[filled])
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
     def keys(self, tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -237,63 +261,145 @@ def _groups(rows, keys: int):
 
 
 def _frequent(size: int):
+    def often(seen):
+        token, n = np.unique(np.concatenate(seen), return_counts=True)
+        many = n >= LOCALLY_FREQUENT
+        return pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(n[many].astype(np.int64))], names=["token", "n"])
+
     def run(batches):
-        seen = []
+        seen, held = [], 0
         for b in batches:
-            seen += [shingles(t, size) for t in set(b.column("text").to_pylist())]
+            for t in set(b.column("text").to_pylist()):
+                seen.append(shingles(t, size))
+                held += len(seen[-1])
+                if held >= BLOCK_KEYS:
+                    yield often(seen)
+                    seen, held = [], 0
         if seen:
-            token, n = np.unique(np.concatenate(seen), return_counts=True)
-            often = n >= LOCALLY_FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
+            yield often(seen)
 
     return run
 
 
-ROUTED = "kind int, doc_id long, n_shingles long, name binary, key long, node long, other long"
+ROUTED = "bucket int, kind int, block long, doc_id long, text_hash long, n_shingles long, name binary, node long, keys binary, owners binary"
+TIED = "kind int, doc_id long, text_hash long, n_shingles long, name binary, node long, other long"
+_TYPES = {"bucket": pa.int32(), "kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "name": pa.binary(), "node": pa.int64(), "other": pa.int64(), "keys": pa.binary(), "owners": pa.binary()}
+
+
+def _batch(schema: str, n: int, **columns):
+    """A batch of n rows of a schema; columns that aren't given are null."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], _TYPES[c]) if c in columns else pa.nulls(n, _TYPES[c]) for c in names], names=names)
+
+
+class Block:
+    """Rows of a task, their distinct sets, and the keys of these."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.keys: list[np.ndarray] = []
+        self.n_keys, self.rows = 0, []
+
+    def add(self, row: tuple, tokens: np.ndarray, keys_of) -> None:
+        name = name_of(tokens) if len(tokens) else None
+        at = None
+        if name is not None and (at := self.known.get(name)) is None:
+            at = self.known[name] = len(self.known)
+            self.keys.append(keys_of(tokens))
+            self.n_keys += len(self.keys[-1])
+        self.rows.append((*row, len(tokens), name, at))
+
+    def batches(self, block: int, bits: int):
+        """A row a document (kind 0) with the first set that its own is tied to here, and the keys of each bucket with their tied sets (kind 1)."""
+        sets = len(self.known)
+        parts = Parts(sets)
+        key = np.concatenate(self.keys) if self.keys else np.empty(0, np.uint64)
+        owner = np.repeat(np.arange(sets), [len(k) for k in self.keys]) if self.keys else np.empty(0, np.int64)
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        _star(key, owner, parts)
+        root = np.fromiter(map(parts.find, range(sets)), np.int64, sets)
+        doc_id, text_hash, n, name, at = zip(*self.rows, strict=True)
+        node = [None if a is None else block * SETS + int(root[a]) for a in at]
+        for a in range(0, len(self.rows), 20_000):
+            e = slice(a, a + 20_000)
+            yield _batch(ROUTED, len(name[e]), bucket=(np.arange(len(name[e])) + 7919 * (block >> 20)).astype(np.int32) % (1 << bits), kind=np.zeros(len(name[e]), np.int32), doc_id=doc_id[e], text_hash=text_hash[e], n_shingles=n[e], name=name[e], node=node[e])
+        if len(key):
+            # Sets that share a key are tied by now, so one of them stands for it. 32 bits of a key within its bucket do: a tie by chance is no link.
+            first = np.r_[True, key[1:] != key[:-1]]
+            key, who = key[first], root[owner[first]].astype(np.uint32)
+            bucket, low = (key >> np.uint64(64 - bits)).astype(np.int64), ((key >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            end = np.r_[begin[1:], len(bucket)]
+            for a in range(0, len(begin), 2_000):
+                spans = list(zip(begin[a : a + 2_000].tolist(), end[a : a + 2_000].tolist(), strict=True))
+                yield _batch(ROUTED, len(spans), bucket=bucket[begin[a : a + 2_000]].astype(np.int32), kind=np.ones(len(spans), np.int32), block=np.full(len(spans), block, np.int64), keys=[low[x:y].tobytes() for x, y in spans], owners=[who[x:y].tobytes() for x, y in spans])
+
 
+def _star(key: np.ndarray, owner: np.ndarray, parts: Parts) -> None:
+    """Join in parts all owners of equal keys; key: sorted."""
+    if len(key):
+        first = np.r_[True, key[1:] != key[:-1]]
+        head = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        tied = head != owner
+        if tied.any():
+            for i, j in np.unique(np.stack([owner[tied], head[tied]], axis=1), axis=0).tolist():
+                parts.join(i, j)
 
-def _route(size: int, percent: int, held):
-    """Per partition: a row a document (kind 0), a row for each key and its first set (1), and ties to that set (2)."""
 
-    def emit(kind, **cols):
-        n = len(next(iter(cols.values())))
-        types = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "name": pa.binary(), "key": pa.int64(), "node": pa.int64(), "other": pa.int64()}
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in types.items())], names=["kind", *types])
+def _route(size: int, percent: int, held, bits: int):
+    """Rows and keys of each block of a task's rows (ROUTED)."""
 
     def run(batches):
         frequent, rank = held.value
-        classes, known, keys, owners = Classes(percent), set(), [], []
+        classes, block, number = Classes(percent), Block(), TaskContext.get().partitionId() << 20
         for b in batches:
-            names, counts, nodes = [], [], []
-            for t in b.column("text").to_pylist():
-                s = shingles(t, size)
-                name = name_of(s) if len(s) else None
-                node = int.from_bytes(name[:8], "little", signed=True) if name else None
-                names.append(name)
-                counts.append(len(s))
-                nodes.append(node)
-                if name is not None and name not in known:
-                    known.add(name)
-                    k = classes.keys(s, frequent, rank)
-                    keys.append(k)
-                    owners.append(np.full(len(k), node, np.int64))
-            yield emit(0, doc_id=b.column("doc_id"), n_shingles=counts, name=names, node=nodes)
-        if keys:
-            key, node = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((node, key))
-            key, node = key[order].view(np.int64), node[order]
-            first = np.r_[True, key[1:] != key[:-1]]
-            head = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            tied = np.flatnonzero(head != node)
-            for at in range(0, int(first.sum()), 100_000):
-                yield emit(1, key=key[first][at : at + 100_000], node=node[first][at : at + 100_000])
-            if len(tied):
-                pairs = np.unique(np.stack([node[tied], head[tied]], axis=1), axis=0)
-                yield emit(2, node=pairs[:, 0].copy(), other=pairs[:, 1].copy())
+            for d, h, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
+                block.add((d, h), shingles(t, size), lambda s: classes.keys(s, frequent, rank))
+                if block.n_keys >= BLOCK_KEYS or len(block.rows) >= SETS - 1:
+                    yield from block.batches(number, bits)
+                    block, number = Block(), number + 1
+        if block.rows:
+            yield from block.batches(number, bits)
 
     return run
 
 
+def _tie(batches):
+    """Documents as they are (kind 0), and the sets that share keys, each tied to the first (kind 2). Rows come ordered by bucket; as many buckets as make a block are tied at once."""
+    keys, owners, held, now = [], [], 0, None
+
+    def ties():
+        key, node = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        again = np.r_[False, key[1:] == key[:-1]]
+        again[:-1] |= again[1:]
+        names, at = np.unique(node[again], return_inverse=True)
+        parts = Parts(len(names))
+        _star(key[again], at, parts)
+        root = np.fromiter(map(parts.find, range(len(names))), np.int64, len(names))
+        tied = np.flatnonzero(root != np.arange(len(names)))
+        return _batch(TIED, len(tied), kind=np.full(len(tied), 2, np.int32), node=names[tied], other=names[root[tied]])
+
+    for b in batches:
+        kind = b.column("kind").to_numpy()
+        if len(docs := np.flatnonzero(kind == 0)):
+            d = b.take(pa.array(docs))
+            yield _batch(TIED, len(docs), **{c: d.column(c) for c in ("kind", "doc_id", "text_hash", "n_shingles", "name", "node")})
+        for i in np.flatnonzero(kind == 1).tolist():
+            bucket = b.column("bucket")[i].as_py()
+            if bucket != now and held >= BLOCK_KEYS:
+                yield ties()
+                keys, owners, held = [], [], 0
+            now = bucket
+            keys.append(np.frombuffer(b.column("keys")[i].as_py(), np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+            owners.append(np.frombuffer(b.column("owners")[i].as_py(), np.uint32).astype(np.int64) + b.column("block")[i].as_py() * SETS)
+            held += len(keys[-1])
+    if keys:
+        yield ties()
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node of each node's component, for the nodes of edges.
 
@@ -363,18 +469,18 @@ def _visit(size: int, percent: int):
     """Within each group: which parts of the visitors and of the residents are linked (without residents: of the visitors among them)."""
 
     def run(batches):
-        for _, rows in _groups(_rows_of(batches, "cluster", "chunk", "guest", "part", "packed"), 2):
-            if not any(r[2] for r in rows):
+        for _, rows in _groups(_rows_of(batches, "cluster", "chunk", "party", "guest", "part", "packed"), 3):
+            if not any(r[3] for r in rows):
                 continue
-            sets = [unpack(r[4], size) for r in rows]
-            guests, own = [i for i, r in enumerate(rows) if r[2]], [i for i, r in enumerate(rows) if not r[2]]
-            names = sorted({r[3] for r in rows})
+            sets = [unpack(r[5], size) for r in rows]
+            guests, own = [i for i, r in enumerate(rows) if r[3]], [i for i, r in enumerate(rows) if not r[3]]
+            names = sorted({r[4] for r in rows})
             at = {p: i for i, p in enumerate(names)}
             words = bitmap_words(sets)
             tree = SignatureTree([sets[i] for i in guests], words)
             other = SignatureTree([sets[i] for i in own], words) if own else tree
             parts = Parts(len(names))
-            traverse(tree, other, percent, parts, [at[rows[i][3]] for i in guests], [at[rows[i][3]] for i in own or guests])
+            traverse(tree, other, percent, parts, [at[rows[i][4]] for i in guests], [at[rows[i][4]] for i in own or guests])
             pairs = [(names[i], names[parts.find(i)]) for i in range(len(names)) if parts.find(i) != i]
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
@@ -382,85 +488,126 @@ def _visit(size: int, percent: int):
     return run
 
 
-def _large_clusters(sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, label) over the parts of clusters of several chunks. sets: LINKED."""
-    # One set from each of the largest parts of each chunk.
-    largest = Window.partitionBy("cluster", "chunk").orderBy(F.col("part_size").desc(), "part")
-    heads = sets.filter(F.col("name") == F.col("part")).withColumn("k", F.row_number().over(largest)).filter("k <= 4")
-    hubs = heads.select("cluster", F.lit(0).alias("chunk"), F.lit(True).alias("guest"), "part", "packed")
-    found = materialize(hubs.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_visit(size, percent), "a binary, b binary"), "hublinks")
+def _meet(groups: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the parts of each (cluster, chunk, party). groups: those, guest, part, packed."""
+    key = ["cluster", "chunk", "party"]
+    return groups.repartition(*key).sortWithinPartitions(*key).mapInArrow(_visit(size, percent), "a binary, b binary")
+
+
+def _large_clusters(sets: DataFrame, chunks: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, label) over the parts of clusters of several chunks. sets: LINKED; chunks: cluster, chunks."""
+    # One set from each of the largest parts of each chunk, then of each group of chunks, and so on; a group of groups is met under a number of its own.
+    heads = sets.filter(F.col("name") == F.col("part")).select("cluster", "chunk", "part", "part_size", "packed")
+    rounds = []
+    for level in range(LEVELS):
+        # Level 0 ranks within chunks, so that no group ever gets more than GROUP * HEADS sets.
+        within = Window.partitionBy("cluster", F.floor(F.col("chunk") / GROUP**level)).orderBy(F.col("part_size").desc(), "part")
+        heads = heads.withColumn("k", F.row_number().over(within)).filter(F.col("k") <= HEADS).drop("k")
+        if level:
+            heads = heads.join(chunks.filter(F.col("chunks") > GROUP**level).select("cluster"), "cluster", "left_semi")
+        heads = materialize(heads, "heads")
+        met = heads.select("cluster", F.floor(F.col("chunk") / GROUP ** (level + 1)).cast("int").alias("chunk"), F.lit(level).alias("party"), F.lit(True).alias("guest"), "part", "packed")
+        rounds.append(materialize(_meet(met, size, percent), "hublinks"))
+        if not chunks.filter(F.col("chunks") > GROUP ** (level + 1)).limit(1).count():
+            break
+    found = reduce(DataFrame.unionByName, rounds)
     labels = connected(found)
-    now = sets.join(labels, sets["part"] == labels["node"], "left").select("cluster", "chunk", "part", "packed", F.coalesce("label", "part").alias("label"))
-    # The label of most sets in each cluster; all others visit every chunk.
+    now = materialize(sets.join(labels, sets["part"] == labels["node"], "left").select("cluster", "chunk", "part", "packed", F.coalesce("label", "part").alias("label")), "labelled")
+    # The label of most sets in each cluster, told to each of its chunks; all other sets visit every chunk, those of four chunks together.
     count = now.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    most = count.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
-    chunks = now.groupBy("cluster").agg(F.max("chunk").alias("last"))
-    outside = now.join(most, "cluster").filter("label <> main").join(chunks, "cluster")
-    guests = outside.select("cluster", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("to"), "chunk", "part", "packed").filter("to <> chunk").select("cluster", F.col("to").alias("chunk"), F.lit(True).alias("guest"), "part", "packed")
-    visited = guests.select("cluster", "chunk").distinct()
-    residents = now.join(visited, ["cluster", "chunk"], "left_semi").select("cluster", "chunk", F.lit(False).alias("guest"), "part", "packed")
-    late = guests.unionByName(residents).repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk").mapInArrow(_visit(size, percent), "a binary, b binary")
-    return connected(found.unionByName(late))
+    most = count.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("m")).join(chunks, "cluster").select("cluster", F.col("m.label").alias("main"), "chunks", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"))
+    outside = now.join(most, ["cluster", "chunk"]).filter("label <> main").select("cluster", "chunk", "part", "packed", "chunks")
+    party = F.floor(F.col("chunk") / 4).cast("int")
+    guests = outside.select("cluster", F.explode(F.expr("sequence(0, chunks - 1)")).alias("to"), "chunk", party.alias("party"), "part", "packed").filter("to <> chunk")
+    guests = guests.select("cluster", F.col("to").alias("chunk"), "party", F.lit(True).alias("guest"), "part", "packed")
+    parties = outside.select("cluster", party.alias("party"), "chunks").distinct().select("cluster", "party", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"))
+    residents = now.join(parties, ["cluster", "chunk"]).select("cluster", "chunk", "party", F.lit(False).alias("guest"), "part", "packed")
+    return connected(found.unionByName(_meet(guests.unionByName(residents), size, percent)))
 
 
-def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links of at least percent Jaccard similarity) of each row of docs."""
-    rows = texts(docs, id_col, text_col)
+def bucket_bits(docs: DataFrame) -> int:
+    """So many leading bits of a key name its bucket that buckets stay small however large the input is."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(BUCKETS[1], max(BUCKETS[0], math.ceil(math.log2(max(1, size) / BUCKET_BYTES)) if size > BUCKET_BYTES else 0))
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """A row for each of docs (doc_id, text_hash, n_shingles, name), and of each name (component_id, component: a name that all of a component share)."""
     spark = docs.sparkSession
+    rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     # Only the order of first shingles needs to know which are frequent.
     often = rows.select("text").filter(F.lit(percent < CLOSE)).mapInArrow(_frequent(shingle), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(FREQUENT).toArrow()
     token, n = np.asarray(often.column("token").to_numpy(), np.int64).view(np.uint64), np.asarray(often.column("n").to_numpy(), np.int64)
     order = np.argsort(token)
     held = spark.sparkContext.broadcast((token[order], n[order]))
-    routed, routed_path = materialize_by(rows.mapInArrow(_route(shingle, percent, held), ROUTED), "routed", "kind")
-
-    same_key = Window.partitionBy("key")
-    across = routed.filter("kind = 1").select("key", "node").withColumn("other", F.min("node").over(same_key)).filter("node <> other").select("node", "other")
-    ties = across.unionByName(routed.filter("kind = 2").select("node", "other")).distinct()
-    clusters = connected(ties, "node", "other")
-    every = routed.filter("kind = 0").select("doc_id", "n_shingles", "name", "node")
-    one = every.filter("name is not null").groupBy("name", "node").agg(F.min("doc_id").alias("doc_id"))
-    clustered = materialize(one.join(clusters, "node").select("doc_id", "name", F.col("label").alias("cluster")), "clustered")
-    for kind in (1, 2):
-        discard_path(spark, f"{routed_path}/kind={kind}")
-    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / F.greatest(F.lit(CHUNK), F.sqrt("n"))).cast("int"))
-    large = materialize(sizes.filter("chunks > 1").select("cluster", "chunks"), "large")
-    chunked = clustered.join(large, "cluster", "left").select("doc_id", "name", "cluster", F.pmod(F.hash("name"), F.coalesce("chunks", F.lit(1))).alias("chunk"), F.col("chunks").isNotNull().alias("is_large"))
+    routed = rows.select("doc_id", "text_hash", "text").mapInArrow(_route(shingle, percent, held, bucket_bits(docs)), ROUTED)
+    tied, tied_path = materialize_by(routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie, TIED), "tied", "kind")
+
+    clusters = connected(tied.filter("kind = 2").select("node", "other"), "node", "other")
+    discard_path(spark, f"{tied_path}/kind=2")
+    every = tied.filter("kind = 0").select("doc_id", "text_hash", "n_shingles", "name", "node")
+    # Of each set the row of smallest id stands for it, one without an id only if there is no other. Copies of a set in many blocks have many nodes, of one cluster.
+    one = every.filter("name is not null").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("of"), F.min("node").alias("node"))
+    one = materialize(one.select("name", "node", "of.doc_id", "of.text_hash"), "one")
+    clustered = materialize(one.join(clusters, "node").select("doc_id", "text_hash", "name", F.col("label").alias("cluster")), "clustered")
+    discard(clusters)
+    # A cluster of one set (copies in several blocks) holds no link.
+    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / F.greatest(F.lit(CHUNK), F.sqrt("n"))).cast("int"))
+    sizes = materialize(sizes.select("cluster", "chunks"), "sizes")
+    chunked = clustered.join(sizes, "cluster").select("doc_id", "text_hash", "name", "cluster", F.pmod(F.hash("name"), "chunks").alias("chunk"), (F.col("chunks") > 1).alias("is_large"))
+    chunked = materialize(chunked, "chunked")
+    discard(clustered)
 
     # Only documents that stand for a clustered set are shingled again and moved. They are told by a bitmap of
-    # their ids of a fixed size; what it lets through by chance, the join drops.
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MEMBER_BITS))
-    words = clustered.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    # their hashes of a fixed size; what it lets through by chance, the join drops.
+    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(MEMBER_BITS))
+    words = chunked.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bitmap = np.zeros(MEMBER_BITS // 64, np.uint64)
     bitmap[np.asarray(words.column("word").to_numpy(), np.int64)] = np.asarray(words.column("bits").to_numpy(), np.int64).view(np.uint64)
     member_of = spark.sparkContext.broadcast(bitmap)
 
     def set_rows(batches):
-        known = member_of.value
+        known, met = member_of.value, set()
         for b in batches:
             h = np.asarray(b.column("bit").to_numpy(zero_copy_only=False), np.int64)
             b = b.take(pa.array(np.flatnonzero((known[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))))
+            rows = [r for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True) if r[:2] not in met and not met.add(r[:2])]
             pack = zstandard.ZstdCompressor(level=3).compress
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([pack(r[2].encode("utf-8", "surrogatepass")) for r in rows], pa.binary())], names=["doc_id", "text_hash", "packed"])
 
     # Packed texts are a fraction of their shingles' hashes, so texts move and are shingled where they arrive.
-    packed = rows.select("doc_id", "text", bit.alias("bit")).mapInArrow(set_rows, "doc_id long, packed binary")
-    members = packed.join(chunked, "doc_id").select("cluster", "chunk", "name", "packed", "is_large")
+    packed = rows.select("doc_id", "text_hash", "text", bit.alias("bit")).mapInArrow(set_rows, "doc_id long, text_hash long, packed binary")
+    members = packed.join(chunked, packed["doc_id"].eqNullSafe(chunked["doc_id"]) & (packed["text_hash"] == chunked["text_hash"])).select("cluster", "chunk", "name", "packed", "is_large")
     placed = members.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "name")
     parts = materialize(placed.mapInArrow(_chunk_links(shingle, percent), LINKED), "parts")
+    discard(chunked)
     part_of = parts.select("name", "part").distinct()
+    large = sizes.filter("chunks > 1")
     if large.limit(1).count():
-        labels = _large_clusters(parts.filter("packed is not null"), shingle, percent)
+        labels = _large_clusters(parts.filter("packed is not null"), large, shingle, percent)
         part_of = part_of.join(labels, part_of["part"] == labels["node"], "left").select("name", F.coalesce("label", "part").alias("part"))
-    first = one.join(part_of, "name", "left").select("name", "doc_id", F.coalesce("part", "name").alias("part"))
-    smallest = first.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    named_class = first.join(smallest, "part").select("name", "component_id")
+    first = one.select("name", "doc_id").join(part_of, "name", "left").select("name", "doc_id", F.coalesce("part", "name").alias("component"))
+    smallest = first.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return every, first.join(smallest, "component").select("name", "component_id", "component")
+
+
+def components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links of at least percent Jaccard similarity) of each row of docs."""
+    every, named_class = _classes(docs, shingle, percent, id_col, text_col)
     # Sets without words have no name, meet nothing, and stay their own component.
     found = every.filter("name is not null").join(named_class, "name").select("doc_id", "n_shingles", "component_id")
     return found.unionByName(every.filter("name is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one of smallest doc_id. Rows that repeat a kept doc_id stay."""
-    gone = components(docs, shingle, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return like_documents(docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti"), docs)
+    """docs with one document of each component: the one of smallest doc_id, and of those without any id the one of smallest text hash.
+
+    Rows that repeat the kept document stay, as do all rows without words.
+    """
+    every, named_class = _classes(docs, shingle, percent, "doc_id", "text")
+    found = every.filter("name is not null").join(named_class, "name")
+    bare = found.filter("component_id is null").groupBy("component").agg(F.min("text_hash").alias("kept_hash"))
+    other = F.when(F.col("component_id").isNotNull(), F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True))).otherwise(F.col("text_hash") != F.col("kept_hash"))
+    gone = found.join(bare, "component", "left").filter(other).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return like_documents(docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (text_hash == gone["gone_hash"]), "left_anti"), docs)
