@@ -33,7 +33,7 @@ def add_lineage(df: DataFrame, source: str) -> DataFrame:
 
 
 def fan_out(df: DataFrame, targets: list[Target], source: str, txn: tuple[str, int] | None = None) -> dict[str, int]:
-    """Append the rows that each target wants to it; returns rows by target. Targets that want none are left alone; a batch that a target has had isn't appended again."""
+    """Append the rows that each target wants to it; returns rows by target. Targets that want none are left alone, but made if they aren't there, so that they can be read; a batch that a target has had isn't appended again."""
     stamped = add_lineage(df, source).persist()
     try:
         flags = [F.count(F.when(F.coalesce(F.expr(t.condition), F.lit(False)) if t.condition else F.lit(True), 1)).alias(f"n{i}") for i, t in enumerate(targets)]
@@ -41,7 +41,7 @@ def fan_out(df: DataFrame, targets: list[Target], source: str, txn: tuple[str, i
         out = {}
         for t, n in zip(targets, counts, strict=True):
             out[t.table.name] = n
-            if n:
+            if n or not t.table.exists():
                 t.table.append(stamped.filter(t.condition) if t.condition else stamped, txn=(f"{txn[0]}:{t.table.name}", txn[1]) if txn else None)
         return out
     finally:
