@@ -55,22 +55,22 @@ CANON = """ev AS (SELECT event_id, user_id, event_type, ts AS event_ts, concat_w
 
 
 @query(f"""WITH {CANON} SELECT CAST(event_ts AS DATE) AS event_date, CASE WHEN revenue_amount >= 1000 THEN 'enterprise' WHEN revenue_amount >= 100 THEN 'mid_market' ELSE 'smb' END AS revenue_tier, product_line,
- round(sum(revenue_amount), 4) AS total_revenue, count(*) AS transaction_count, round(avg(revenue_amount), 4) AS avg_revenue, quantile_disc(revenue_amount, 0.5) AS p50_revenue, quantile_disc(revenue_amount, 0.95) AS p95_revenue
+ round(sum(revenue_amount), 4) AS gross_revenue, count(*) AS transaction_count, round(avg(revenue_amount), 4) AS avg_transaction_value, quantile_disc(revenue_amount, 0.5) AS median_transaction_value, quantile_disc(revenue_amount, 0.95) AS p95_transaction_value
  FROM ev GROUP BY ALL""")
 def gold_revenue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(layers.revenue_summary(load_events(spark, sf_dir), stamp=False), "total_revenue", "avg_revenue")
+    return _rounded(layers.revenue_summary(load_events(spark, sf_dir), stamp=False), "gross_revenue", "avg_transaction_value")
 
 
 @query(f"""WITH {CANON}, x AS (SELECT *, floor(epoch(max(event_ts) OVER (PARTITION BY session_id)))::BIGINT - floor(epoch(min(event_ts) OVER (PARTITION BY session_id)))::BIGINT AS secs FROM ev)
- SELECT CAST(event_ts AS DATE) AS event_date, user_id, event_type, count(*) AS event_count, round(sum(revenue_amount), 4) AS total_revenue, round(avg(secs), 4) AS avg_session_duration,
+ SELECT CAST(event_ts AS DATE) AS event_date, user_id, event_type, count(*) AS event_count, round(sum(revenue_amount), 4) AS total_revenue, round(avg(secs), 4) AS avg_session_duration_seconds,
  count(DISTINCT session_id) AS unique_sessions, min(event_ts) AS first_event_ts, max(event_ts) AS last_event_ts FROM x GROUP BY ALL""")
 def gold_daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _naive(_rounded(layers.daily_metrics(with_session_duration(load_events(spark, sf_dir)), stamp=False), "total_revenue", "avg_session_duration"), "first_event_ts", "last_event_ts")
+    return _naive(_rounded(layers.daily_metrics(with_session_duration(load_events(spark, sf_dir)), stamp=False), "total_revenue", "avg_session_duration_seconds"), "first_event_ts", "last_event_ts")
 
 
 @query(f"""WITH {CANON}, f AS (SELECT user_id, CAST(min(event_ts) AS DATE) AS acquisition_date FROM ev GROUP BY 1), j AS (SELECT ev.*, acquisition_date, date_diff('day', acquisition_date, CAST(event_ts AS DATE)) AS d FROM ev LEFT JOIN f USING (user_id))
  SELECT acquisition_date, CASE WHEN d = 0 THEN 'day_0' WHEN d BETWEEN 1 AND 7 THEN 'day_1_7' WHEN d BETWEEN 8 AND 30 THEN 'day_8_30' ELSE 'day_30_plus' END AS cohort_bucket,
- count(DISTINCT user_id) AS cohort_users, round(sum(revenue_amount), 4) AS cohort_revenue FROM j GROUP BY ALL""")
+ count(DISTINCT user_id) AS unique_users, round(sum(revenue_amount), 4) AS cohort_revenue FROM j GROUP BY ALL""")
 def gold_user_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(layers.user_cohorts(load_events(spark, sf_dir), stamp=False), "cohort_revenue")
 

@@ -52,7 +52,7 @@ def silver(df: DataFrame, key: str | Sequence[str], order: str, tiebreak: Sequen
     return add_silver_metadata(E.normalize_strings(E.auto_cast(keep_latest(df, key, order, tiebreak)), exclude=exclude))
 
 
-# --- gold
+# --- gold (fixed values: the names of the output columns)
 
 
 def _gold(df: DataFrame, family: str, stamp: bool) -> DataFrame:
@@ -62,7 +62,7 @@ def _gold(df: DataFrame, family: str, stamp: bool) -> DataFrame:
 def daily_metrics(events: DataFrame, stamp: bool = True) -> DataFrame:
     """By day, user and event type. Needs session_duration_seconds."""
     out = events.groupBy(F.to_date("event_ts").alias("event_date"), "user_id", "event_type").agg(
-        F.count("*").alias("event_count"), F.sum("revenue_amount").alias("total_revenue"), F.avg("session_duration_seconds").alias("avg_session_duration"),
+        F.count("*").alias("event_count"), F.sum("revenue_amount").alias("total_revenue"), F.avg("session_duration_seconds").alias("avg_session_duration_seconds"),
         F.countDistinct("session_id").alias("unique_sessions"), F.min("event_ts").alias("first_event_ts"), F.max("event_ts").alias("last_event_ts"),
     )
     return _gold(out, "daily_metrics", stamp)
@@ -72,7 +72,7 @@ def user_cohorts(events: DataFrame, stamp: bool = True) -> DataFrame:
     """By day of a user's first event and time since then: users and revenue. The first day comes from an aggregation by user and a join back, which adaptive execution may broadcast or split."""
     first = events.groupBy("user_id").agg(F.to_date(F.min("event_ts")).alias("acquisition_date"))
     days = F.datediff(F.to_date("event_ts"), "acquisition_date")
-    out = events.join(first, "user_id", "left").groupBy("acquisition_date", E.cohort_bucket(days).alias("cohort_bucket")).agg(F.countDistinct("user_id").alias("cohort_users"), F.sum("revenue_amount").alias("cohort_revenue"))
+    out = events.join(first, "user_id", "left").groupBy("acquisition_date", E.cohort_bucket(days).alias("cohort_bucket")).agg(F.countDistinct("user_id").alias("unique_users"), F.sum("revenue_amount").alias("cohort_revenue"))
     return _gold(out, "user_cohorts", stamp)
 
 
@@ -80,7 +80,7 @@ def revenue_summary(events: DataFrame, stamp: bool = True, accuracy: int = 1_000
     """By day, revenue tier and product line."""
     p = lambda q: F.percentile_approx("revenue_amount", q, accuracy)
     out = events.groupBy(F.to_date("event_ts").alias("event_date"), E.transaction_revenue_tier(F.col("revenue_amount")).alias("revenue_tier"), "product_line").agg(
-        F.sum("revenue_amount").alias("total_revenue"), F.count("*").alias("transaction_count"), F.avg("revenue_amount").alias("avg_revenue"), p(0.5).alias("p50_revenue"), p(0.95).alias("p95_revenue")
+        F.sum("revenue_amount").alias("gross_revenue"), F.count("*").alias("transaction_count"), F.avg("revenue_amount").alias("avg_transaction_value"), p(0.5).alias("median_transaction_value"), p(0.95).alias("p95_transaction_value")
     )
     return _gold(out, "revenue_summary", stamp)
 
