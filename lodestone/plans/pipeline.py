@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import layers, quality
 from ..sources import files
@@ -43,6 +44,36 @@ def run_bronze(spark: SparkSession, c: PipelineConfig) -> dict:
         parsed.unpersist()
 
 
+def run_bronze_stream(spark: SparkSession, c: PipelineConfig, checkpoint: str, max_files: int = 1_000, **trigger):
+    """New files of the source as a stream into bronze: types are inferred from each micro-batch, columns that bronze has keep their types, new ones join it.
+
+    The stream only says which files are new (max_files a micro-batch at most);
+    they are read as in run_bronze, and records that don't parse are quarantined.
+    A micro-batch is one commit under the name of its source, once, also when the
+    query is started again from its checkpoint.
+    """
+    bronze, quarantine = VersionedTable(spark, c.root, "bronze"), VersionedTable(spark, c.root, "quarantine")
+
+    def batch(found, number: int) -> None:
+        paths = [r[0] for r in found.distinct().collect()]
+        if not paths:
+            return
+        own = found.sparkSession
+        held = {f.name: f for f in bronze.schema().fields} if bronze.exists() else {}
+        schema = T.StructType([held.get(f.name, f) for f in files.infer_schema(own, paths, c.kind, ratio=1.0).fields])
+        parsed = files.read_permissive(own, paths, schema, c.kind).persist()
+        try:
+            bad = parsed.agg(F.count(files.CORRUPT)).first()[0]
+            bronze.append(layers.add_bronze_metadata(layers.good_records(parsed), c.batch_id, c.source_path), txn=(f"bronze-stream:{c.source_path}", number))
+            if bad:
+                quarantine.append(layers.bad_records(parsed, c.batch_id, c.source_path), txn=(f"quarantine-stream:{c.source_path}", number))
+        finally:
+            parsed.unpersist()
+
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(c.source_path).select("_metadata.file_path")
+    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
+
+
 def _number(batch_id: str) -> int:
     """A batch's name as a number for the log."""
     import zlib

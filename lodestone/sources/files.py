@@ -54,7 +54,7 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, kind
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(kind).load(path)
 
 
-def infer_schema(spark: SparkSession, path: str, kind: str = "json", ratio: float = 0.1) -> T.StructType:
+def infer_schema(spark: SparkSession, path: str | list[str], kind: str = "json", ratio: float = 0.1) -> T.StructType:
     """The schema of a sample; an empty source is an error."""
     reader = spark.read.format(kind)
     df = reader.option("samplingRatio", ratio).load(path) if kind == "json" else reader.option("header", "true").option("inferSchema", "true").load(path) if kind == "csv" else reader.load(path)
@@ -63,7 +63,7 @@ def infer_schema(spark: SparkSession, path: str, kind: str = "json", ratio: floa
     return T.StructType([f for f in df.schema.fields if f.name != CORRUPT])
 
 
-def read_permissive(spark: SparkSession, path: str, schema: T.StructType, kind: str = "json") -> DataFrame:
+def read_permissive(spark: SparkSession, path: str | list[str], schema: T.StructType, kind: str = "json") -> DataFrame:
     """All records; what doesn't parse has its text in _corrupt_record, which is always a column."""
     with_corrupt = T.StructType([*[f for f in schema.fields if f.name != CORRUPT], T.StructField(CORRUPT, T.StringType())])
     if kind not in ("json", "csv"):

@@ -256,3 +256,43 @@ def test_optimize_by_partition(spark, table, people):
     table.view("t_now")
     assert spark.sql("select count(*) from t_now").first()[0] == 3
     assert table.freshness("name") == "c"
+
+
+def test_bronze_stream_restarts_and_grows(spark, tmp_path):
+    """Added columns join bronze, what doesn't parse is quarantined, and a restart neither loses nor repeats a file."""
+    import json
+
+    from lodestone.plans import pipeline
+
+    source = tmp_path / "in"
+    source.mkdir()
+    c = pipeline.PipelineConfig(str(tmp_path / "tables"), str(source), "b1")
+
+    def put(name, *rows):
+        (source / name).write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows))
+
+    def run():
+        q = pipeline.run_bronze_stream(spark, c, str(tmp_path / "checkpoint"), availableNow=True)
+        q.awaitTermination()
+
+    put("a.json", {"event_id": "e1", "n": 1}, {"event_id": "e2", "n": 2}, "{not json")
+    run()
+    put("b.json", {"event_id": "e3", "n": 3, "extra": "x"})
+    run()
+    run()
+    got = VersionedTable(spark, c.root, "bronze").read()
+    assert sorted(tuple(r) for r in got.select("event_id", "n", F.coalesce("extra", F.lit("-"))).collect()) == [("e1", 1, "-"), ("e2", 2, "-"), ("e3", 3, "x")]
+    assert [r["raw_value"] for r in VersionedTable(spark, c.root, "quarantine").read().collect()] == ["{not json"]
+
+
+def test_pruning_to_the_fraction_of_a_second(spark, tmp_path):
+    from datetime import UTC, date, datetime, timedelta, timezone
+
+    t = VersionedTable(spark, str(tmp_path), "times")
+    t.append(spark.sql("SELECT 1 AS id, TIMESTAMP'2024-01-01 00:00:00.5' AS ts, DATE'2024-01-01' AS d"))
+    t.append(spark.sql("SELECT 2 AS id, TIMESTAMP'2024-01-01 12:00:00.25' AS ts, DATE'2024-01-02' AS d"))
+    at = lambda *x, z=UTC: datetime(2024, 1, 1, *x, tzinfo=z)
+    ids = lambda **r: sorted(x["id"] for x in t.read(ranges=r).collect())
+    assert ids(ts=(None, at(0, 0, 0, 700_000))) == [1] and ids(ts=(None, at(0, 0, 0, 400_000))) == [] and ids(ts=(at(12, 0, 0, 200_000), None)) == [2]
+    assert ids(ts=(at(13, 0, z=timezone(timedelta(hours=1))), None)) == [2] and t.files_scanned({"ts": (at(13, 0, 1, z=timezone(timedelta(hours=1))), None)}) == (0, 2)
+    assert ids(d=(date(2024, 1, 2), None)) == [2] and t.files_scanned({"d": (datetime(2024, 1, 2), None)}) == (1, 2)
