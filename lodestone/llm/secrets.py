@@ -9,7 +9,9 @@ for them alone.
 
 Defined cases: null content is an empty blob; repeated rows, and equal texts
 under many ids, are each returned, with equal findings; an empty table gives no
-rows; texts are scanned whole; a path may be null; other columns are left out.
+rows; texts are scanned whole, and the work grows with their findings, not with
+the square of these; a path may be null; other columns are left out of findings,
+and kept by redact under any name.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import like_documents, shared_dir
+from .common import shared_dir
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 #: kind, pattern, cheap test as a pattern, least length of the group that counts. The first three are the base rules.
@@ -93,19 +95,21 @@ def findings(versions: DataFrame, ledger: str | None = None, version: str = CURR
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """docs with each finding's stretch of text replaced by mask, overlapping ones by one; n_chars, if there, follows. Rows without findings stay as they are."""
-    base = docs.withColumn("_blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    """docs with each finding's stretch of text replaced by mask, overlapping ones by one; n_chars, if there, follows. Rows without findings stay as they are, and other columns whatever their names."""
     rows, _ = update_ledger(docs, None, path_col="doc_id")
-    found = rows.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        # at: the first code point not yet written
-        fresh = F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))
-        return F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), fresh.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
-
-    masked = F.aggregate("_found", begin, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1)))
-    out = base.join(found, "_blob", "left").withColumn("text", F.when(F.col("_found").isNotNull(), masked).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return like_documents(out, docs)
+    # All of a row goes into one column, so that no name of docs meets one of ours.
+    whole = docs.select(F.sha2(F.coalesce(docs["text"], F.lit("")), 256).alias("blob"), F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"))
+    found = rows.filter(F.size("findings") > 0).select(F.col("blob").alias("known"), "findings")
+    joined = whole.join(found, whole["blob"] == found["known"], "left").select("row", "findings")
+    hit = F.col("findings").isNotNull()
+    text = F.when(hit, spans.masked(F.col("row.text"), F.col("findings"), mask)).otherwise(F.col("row.text"))
+    out = joined.select("row", hit.alias("hit"), text.alias("new"))
+    kind = {f.name: f.dataType for f in docs.schema.fields}
+
+    def column(c):
+        old = F.col("row")[c]
+        if c == "text":
+            return F.col("new").alias(c)
+        return (F.when(F.col("hit"), F.length("new").cast(kind[c])).otherwise(old) if c == "n_chars" else old).alias(c)
+
+    return out.select(*[column(c) for c in docs.columns])
