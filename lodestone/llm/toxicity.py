@@ -1,21 +1,28 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
-
-A bounded sample of labelled documents (at most ``max_examples``) is turned into
-TF-IDF vectors over all of its words and word beginnings; document frequencies
-come from all documents, and terms that the labels bear on weigh more (``bearing``),
-but none weighs less than its idf or is left out. Terms of few examples have
-posting lists and terms of many are held densely; a query adds up both in full
-for every example, so that its k nearest examples are exact. (Block bounds would
-save little: over whole texts they left about 50 of 125 blocks to visit.) Words
-that no example holds count neither for nor against a similarity. Their similarity-weighted votes, calibrated by leave-one-out
-on the examples, are the score; the nearest examples are the evidence.
-
-Defined cases: null and empty texts, like all texts without a known term, get
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+A bounded sample of labelled documents (at most ``max_examples`` of them and
+``max_chars`` characters) is turned into TF-IDF vectors over all of their words;
+document frequencies come from all documents, and words that the labels bear on
+weigh more (``bearing``), but none weighs less than its idf or is left out. Words
+that no example holds count neither for nor against a similarity.
+
+Examples stand in blocks of BLOCK. The lists of rare words are added up in full;
+of the words that stand in many examples the greatest weight in each block is
+kept, so a block's greatest possible similarity is known before these words are
+looked at, and a block that cannot hold one of the k nearest examples is passed
+over. Blocks hold examples that resemble each other, which keeps their bounds
+tight. The k nearest examples are exact; their similarity-weighted votes,
+calibrated by leave-one-out on the examples, are the score, and the nearest of
+them are the evidence.
+
+Defined cases: null and empty texts, like all texts without a known word, get
 the calibrated rate of such texts; labels that are null or name no document are
-ignored and of several labels on one document the highest holds; without any
-labelled row every score is 0; similarities equal in 12 places go to the lower
-position in the index; repeated rows are scored each. Columns besides id and text are never
-read for a score.
+ignored and of several labels on one document the highest holds; of several
+texts of one labelled doc_id the one of smallest hash is the example; documents
+without an id are scored like others; without any labelled row every score is 0;
+similarities equal in 12 places go to the lower position in the index; repeated
+rows are scored each; an empty table gives no rows. Columns besides id and text
+are never read for a score.
 """
 
 from __future__ import annotations
@@ -23,44 +30,47 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import sys
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
 
 WORD = re.compile(r"[^\W\d_]+")
-MAX_EXAMPLES = 8_000
+#: What the driver and the broadcast hold is bounded by these.
+MAX_EXAMPLES, MAX_CHARS = 5_000, 20_000_000
 NEIGHBOURS = 15
-BATCH = 64
-PREFIX = 4
+#: Texts scored together; examples in a block.
+BATCH, BLOCK = 64, 64
 REJECT_FROM = 0.7
-#: Terms of more than one in COMMON_FROM examples are held densely, the MAX_COMMON most common ones; this changes the speed only.
+#: Words of more than one in COMMON_FROM examples are looked at block by block, the MAX_COMMON most common ones; this changes the speed only.
 COMMON_FROM, MAX_COMMON = 16, 512
-#: So many standard deviations from chance double a term's weight.
-DOUBLE_AT = 4.0
+#: So many standard deviations from chance double a word's weight.
+DOUBLE_AT = 2.0
+#: Into so many rows a task's counts of words are cut.
+RANGES = 64
 
 
 def term_counts(text: str) -> Counter:
     return Counter(WORD.findall(text.lower()))
 
 
-def expand(counts: Counter) -> Counter:
-    """Counts of words, and of the first PREFIX letters of longer ones marked by a star."""
-    out = Counter(counts)
-    for w, n in counts.items():
-        if len(w) > PREFIX:
-            out[w[:PREFIX] + "*"] += n
-    return out
+def hashed(words) -> np.ndarray:
+    """The 64-bit hash by which a word is known, of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
 
 
-def sketch(words: list[str]) -> str:
-    """A hash that texts of the same words in the same order share."""
-    return hashlib.sha256(" ".join(words).encode()).hexdigest()
+def look_up(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash in terms (sorted hashes), -1 if it isn't there."""
+    if not len(terms):
+        return np.full(len(hashes), -1, np.int64)
+    at = np.searchsorted(terms, hashes)
+    at[at == len(terms)] = 0
+    return np.where(terms[at] == hashes, at, -1)
 
 
 def bearing(seen: np.ndarray, hits: np.ndarray, n: int, toxic: int) -> np.ndarray:
@@ -70,91 +80,119 @@ def bearing(seen: np.ndarray, hits: np.ndarray, n: int, toxic: int) -> np.ndarra
 
 
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of examples: posting lists of rare terms, rows of common ones."""
-
-    def __init__(self, terms: list[str], idf, vectors, toxic: list[int], ids: list[int]):
-        self.terms = {t: i for i, t in enumerate(terms)}
-        self.idf = np.asarray(idf, np.float64)  # or other weights
-        self.beginning = np.array([self.terms.get(t[:PREFIX] + "*", -1) if len(t) > PREFIX and t[-1] != "*" else -1 for t in terms], np.int32)
-        m, unit = len(terms), []
-        for v, y, i in zip(vectors, toxic, ids, strict=True):
-            if v:
-                unit.append((y, i, np.fromiter(v, np.int32, len(v)), np.fromiter(v.values(), np.float64, len(v))))
-        n = len(unit)
-        seen = np.bincount(np.concatenate([x[2] for x in unit]), minlength=m) if unit else np.zeros(m, np.int64)
-        common = [t for t in np.argsort(-seen, kind="stable")[:MAX_COMMON] if seen[t] * COMMON_FROM > n]
+    """Unit TF-IDF vectors of examples: posting lists of rare terms, and rows of common ones with their greatest weights in each block."""
+
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], ids: list[int]):
+        """terms: sorted hashes; vectors: rising places in terms and unit weights of each example; those without any are left out."""
+        self.terms, self.weights = terms, np.asarray(weights, np.float64)
+        some = [i for i, (ts, _) in enumerate(vectors) if len(ts)]
+        n, m = len(some), len(terms)
+        size = np.array([len(vectors[i][0]) for i in some], np.int64)
+        ts = np.concatenate([vectors[i][0] for i in some]).astype(np.int32) if n else np.zeros(0, np.int32)
+        ws = np.concatenate([vectors[i][1] for i in some]).astype(np.float32) if n else np.zeros(0, np.float32)
+        seen = np.bincount(ts, minlength=m)
+        common = np.argsort(-seen, kind="stable")[:MAX_COMMON]
+        common = common[seen[common] * COMMON_FROM > n]
         self.slot = np.full(m, -1, np.int32)
         self.slot[common] = np.arange(len(common))
-
-        unit.sort(key=lambda x: (x[0], x[1]))
-        self.toxic = np.array([x[0] for x in unit], np.float64)
-        self.ids = np.array([x[1] for x in unit], np.int64)
-        self.common = np.zeros((len(common), n))
-        rare = []
-        for k, (_, _, ts, ws) in enumerate(unit):
-            s = self.slot[ts]
-            self.common[s[s >= 0], k] = ws[s >= 0]
-            rare.append((ts[s < 0], np.full(int((s < 0).sum()), k, np.int32), ws[s < 0]))
-        ts, who, ws = (np.concatenate(x) for x in zip(*rare, strict=True)) if rare else (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
-        order = np.argsort(ts, kind="stable")
-        self.who, self.weight = who[order], ws[order]
+        who, slot = np.repeat(np.arange(n, dtype=np.int32), size), self.slot[ts]
+        rows = np.zeros((len(common), -(-n // BLOCK) * BLOCK), np.float32)
+        rows[slot[slot >= 0], who[slot >= 0]] = ws[slot >= 0]
+        # Like examples side by side: by label, then by the common word of the greatest weight.
+        heaviest = rows[:, :n].argmax(axis=0) if len(common) else np.zeros(n, np.int64)
+        order = np.lexsort(([ids[i] for i in some], heaviest, [toxic[i] for i in some])) if n else np.zeros(0, np.int64)
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        self.common = np.zeros_like(rows)
+        self.common[:, :n] = rows[:, order]
+        self.ids = np.array([ids[some[i]] for i in order], np.int64)
+        self.toxic = np.array([toxic[some[i]] for i in order], np.float64)
+        ts, who, ws = ts[slot < 0], place[who[slot < 0]], ws[slot < 0]
+        order = np.lexsort((who, ts))
+        self.who, self.rare = who[order], ws[order]
         self.begin = np.searchsorted(ts[order], np.arange(m + 1)).astype(np.int32)
+        self._widen()
+
+    def _widen(self) -> None:
+        """What follows from the rest: block rows and maxima in double precision."""
+        c, n = self.common.shape
+        self.blocks = self.common.reshape(c, n // BLOCK, BLOCK).transpose(1, 0, 2).astype(np.float64, order="C")
+        self.most = self.blocks.max(axis=2).T if n else np.zeros((c, 0))
+        self.visited = self.passed = 0
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("blocks", "most")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._widen()
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The unit vector of a text's word counts over the index terms: rising terms, and their weights."""
-        find = self.terms.get
-        ns = np.fromiter(counts.values(), np.int64, len(counts))
-        ts = np.array([find(w, -1) for w in counts], np.int32)
-        heads = np.where(ts >= 0, self.beginning[ts], -1) if len(self.terms) else ts
-        new = [(k, t) for k, (t, w) in enumerate(zip(ts.tolist(), counts, strict=True)) if t < 0 and len(w) > PREFIX for t in (find(w[:PREFIX] + "*", -1),)]
-        if new:
-            heads[[k for k, _ in new]] = [t for _, t in new]
-        ts, ns = np.concatenate([ts, heads]), np.concatenate([ns, ns])
-        ns = ns[ts >= 0]
-        ts, place = np.unique(ts[ts >= 0], return_inverse=True)
-        v = (1 + np.log(np.bincount(place, ns, len(ts)))) * self.idf[ts]
-        return ts, v / math.sqrt(v @ v) if len(ts) else v
-
-    def weigh(self, tf: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in tf.items()}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()} if norm else {}
-
-    def nearest(self, q: dict[int, float], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int]]:
-        """(similarity, position) of the k nearest examples with a similarity above 0, exactly; without: an id to leave out."""
-        ts = np.array(sorted(q), np.int64)
-        return self.near([(ts, np.array([q[t] for t in ts.tolist()], np.float64))], k, [without])[0]
+        ts = look_up(self.terms, hashed(counts))
+        ns = np.fromiter(counts.values(), np.float64, len(counts))[ts >= 0]
+        ts = ts[ts >= 0]
+        order = np.argsort(ts)
+        return unit(ts[order], (1 + np.log(ns[order])) * self.weights[ts[order]])
 
     def near(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list | None = None) -> list[list[tuple[float, int]]]:
-        """nearest() of each of some vectors of rising terms and their weights."""
-        n = len(self.ids)
+        """(similarity, position) of the k nearest examples with a similarity above 0 of each of some vectors of rising terms and their weights; without: an id for each to leave out."""
+        n, count = len(self.ids), len(queries)
         if not n:
             return [[] for _ in queries]
-        slots = [self.slot[ts] for ts, _ in queries]
-        held = np.zeros((len(queries), len(self.common)))
-        for row, slot, (_, qs) in zip(held, slots, queries, strict=True):
-            row[slot[slot >= 0]] = qs[slot >= 0]
-        out = []
-        for j, (score, slot, (ts, qs)) in enumerate(zip(held @ self.common, slots, queries, strict=True)):
+        held, score = np.zeros((count, len(self.common))), np.zeros((count, self.common.shape[1]))
+        for j, (ts, qs) in enumerate(queries):
+            slot = self.slot[ts]
+            held[j, slot[slot >= 0]] = qs[slot >= 0]
             rare = ts[slot < 0]
             begin, size = self.begin[rare], self.begin[rare + 1] - self.begin[rare]
             at = np.repeat(begin - np.cumsum(size, dtype=np.int32) + size, size) + np.arange(size.sum(), dtype=np.int32)
-            score += np.bincount(self.who[at], self.weight[at] * np.repeat(qs[slot < 0], size), n)
-            if without is not None and without[j] is not None:
-                score[self.ids == without[j]] = 0.0
-            least = np.partition(score, -k)[-k] - 1e-9 if n > k else 0.0
-            at = np.flatnonzero((score >= least) & (score > 0))
-            found = np.round(score[at], 12)
-            best = np.lexsort((at, -found))[:k]
-            out.append([(float(found[i]), int(at[i])) for i in best if found[i] > 0])
+            score[j] = np.bincount(self.who[at], self.rare[at] * np.repeat(qs[slot < 0], size), score.shape[1])
+        split = score.reshape(count, -1, BLOCK)
+        bound = split.max(axis=2) + held @ self.most + 1e-9
+        skip = [np.flatnonzero(self.ids == i) for i in without] if without is not None else None
+        # The most promising blocks first: their k-th best similarity is the one to beat.
+        tops = min(bound.shape[1], 1 + -(-k // BLOCK))
+        best = np.argpartition(-bound, tops - 1, axis=1)[:, :tops]
+        seen = np.zeros(bound.shape, bool)
+        np.put_along_axis(seen, best, True, axis=1)
+        self._visit(seen, held, split)
+        beat = np.zeros(count)
+        for j in range(count):
+            if skip is not None:
+                score[j, skip[j]] = -2.0
+            done = split[j, best[j]].ravel()
+            if len(done) > k:
+                beat[j] = max(0.0, np.partition(done, -k)[-k])
+        more = ~seen & (bound >= beat[:, None])
+        self._visit(more, held, split)
+        self.visited += int(seen.sum() + more.sum())
+        self.passed += int(seen.size - seen.sum() - more.sum())
+        out = []
+        for j in range(count):
+            # What is in no visited block has less than the similarity to beat, and where that is 0 all blocks are visited.
+            at = np.flatnonzero(score[j] >= max(beat[j] - 1e-9, 1e-13))
+            found = np.round(score[j, at], 12)
+            order = np.lexsort((at, -found))[:k]
+            out.append([(float(found[i]), int(at[i])) for i in order if found[i] > 0])
         return out
 
+    def _visit(self, wanted: np.ndarray, held: np.ndarray, split: np.ndarray) -> None:
+        """Add the common terms' share to the similarities of the wanted (query, block) pairs."""
+        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+            rows = np.flatnonzero(wanted[:, b])
+            split[rows, b] += held[rows] @ self.blocks[b]
+
     def vote(self, near: list[tuple[float, int]], prior: float, weight: float = 0.25) -> float:
-        """Labels weighted by the cube of the similarity, drawn to prior where nothing is near."""
-        ws = [s**3 for s, _ in near]
+        """Labels weighted by the similarity, drawn to prior where nothing is near."""
+        ws = [s for s, _ in near]
         return (sum(w * self.toxic[i] for w, (_, i) in zip(ws, near, strict=True)) + weight * prior) / (sum(ws) + weight)
 
 
+def unit(ts: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ts, v / math.sqrt(v @ v) if len(ts) else v
+
+
 class Model:
     """Index, the rate of toxic examples among those without a known term, and the calibration of votes."""
 
@@ -193,8 +231,8 @@ def calibrate(raw: list[float], toxic: list[int]) -> tuple[list[float], list[flo
     return ([0.0, *xs, 1.0], [min(ys[0], 0.01) if ys else 0.0, *ys, ys[-1] if ys else 1.0])
 
 
-def train(rows: list[tuple[int, int, Counter]], frequency: np.ndarray, n_docs: int, terms: list[str]) -> Model:
-    """Model of rows (id, toxic, word counts). frequency: in how many documents each of terms stands.
+def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], frequency: np.ndarray, n_docs: int, terms: np.ndarray) -> Model:
+    """Model of rows (id, toxic, rising places in terms, counts). frequency: in how many documents each of terms stands.
 
     For the calibration an example is a query from whose term weights its own label is taken out.
     """
@@ -203,112 +241,122 @@ def train(rows: list[tuple[int, int, Counter]], frequency: np.ndarray, n_docs: i
     toxic = [r[1] for r in rows]
     n, p = len(rows), sum(toxic)
     prior = p / n
-    find = {t: i for i, t in enumerate(terms)}
     idf = np.log((1 + n_docs) / (1 + frequency)) + 1
-    seen, hits, held = np.zeros(len(terms)), np.zeros(len(terms)), []
-    for _, y, counts in rows:
-        tf = expand(counts)
-        ts, tf = np.array([find[t] for t in tf], np.int32), 1 + np.log(np.array([*tf.values()], np.float64))
-        order = np.argsort(ts)
-        ts, tf = ts[order], tf[order]
+    seen, hits = np.zeros(len(terms)), np.zeros(len(terms))
+    for _, y, ts, _ in rows:
         seen[ts] += 1
         hits[ts] += y
-        held.append((ts, tf))
-
-    def unit(ts, tf, weights):
-        v = tf * weights
-        return ts, v / np.sqrt(v @ v) if len(ts) else v
-
+    held = [(r[2], 1 + np.log(r[3])) for r in rows]
     weights = idf * bearing(seen, hits, n, p)
-    index = BlockMaxIndex(terms, weights, (dict(zip(*unit(ts, tf, weights[ts]), strict=True)) for ts, tf in held), toxic, [r[0] for r in rows])
+    index = BlockMaxIndex(terms, weights, [unit(ts, tf * weights[ts]) for ts, tf in held], toxic, [r[0] for r in rows])
     bare = [y for y, (ts, _) in zip(toxic, held, strict=True) if not len(ts)]
     some = [(r[0], r[1], ts, tf) for r, (ts, tf) in zip(rows, held, strict=True) if len(ts)]
     raw = []
     for a in range(0, len(some), BATCH):
         part = some[a : a + BATCH]
-        queries = [unit(ts, tf, idf[ts] * bearing(seen[ts] - 1, hits[ts] - y, n - 1, p - y)) for _, y, ts, tf in part]
+        queries = [unit(ts, tf * idf[ts] * bearing(seen[ts] - 1, hits[ts] - y, n - 1, p - y)) for _, y, ts, tf in part]
         raw += [index.vote(near, prior) for near in index.near(queries, without=[x[0] for x in part])]
-    labels = [x[1] for x in some]
-    return Model(index, (sum(bare) + prior) / (len(bare) + 1), prior, calibrate(raw, labels))
+    return Model(index, (sum(bare) + prior) / (len(bare) + 1), prior, calibrate(raw, [x[1] for x in some]))
 
 
 def _frequencies(held):
-    """Per partition: in how many texts the term of each place in the held terms stands, and how many texts there are (place -1)."""
+    """Per partition: in how many texts each of the held terms stands, in RANGES rows of counts, and how many texts there are (range -1)."""
 
     def run(batches):
-        places, beginning = held.value
-        find, seen, n = places.get, np.zeros(len(places), np.int64), 0
+        terms = held.value
+        seen, n = np.zeros(len(terms), np.int64), 0
         for b in batches:
-            found = []
-            for t in b.column("text").to_pylist():
-                heads = set()
-                for w in set(WORD.findall(t.lower())):
-                    if (p := find(w)) is not None:
-                        found.append(p)
-                        heads.add(beginning[p])
-                    elif len(w) > PREFIX:
-                        heads.add(find(w[:PREFIX] + "*"))
-                heads.discard(None)
-                found += heads
-                n += 1
-            seen += np.bincount(np.array(found, np.int64), minlength=len(places))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], n), pa.int64())], names=["term", "n"])
+            n += b.num_rows
+            for a in range(0, b.num_rows, 512):  # sorted hashes are found faster, and a few hundred texts of them are small
+                found = np.concatenate([hashed(set(WORD.findall(t.lower()))) for t in b.column("text")[a : a + 512].to_pylist()])
+                at = look_up(terms, np.sort(found))
+                np.add.at(seen, at[at >= 0], 1)
+        parts = np.array_split(seen, RANGES)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(RANGES)], pa.int32()), pa.array([np.array([n], np.int64).tobytes(), *(x.tobytes() for x in parts)], pa.binary())], names=["range", "counts"])
 
     return run
 
 
+def _total(batches):
+    """The sum of the counts of each range."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for r, c in zip(b.column("range").to_pylist(), b.column("counts").to_pylist(), strict=True):
+            c = np.frombuffer(c, np.int64)
+            total[r] = total[r] + c if r in total else c
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["range", "counts"])
+
+
 def _examples(batches):
-    """Each labelled text as its word counts and its sketch, so that the driver gets no texts."""
+    """Each labelled text as hashes and counts of its words, and a sketch that texts of the same words in the same order share, so that the driver gets no texts."""
     for b in batches:
         out = []
         for t in b.column("text").to_pylist():
             words = WORD.findall(t.lower())
             counts = Counter(words)
-            out.append((sketch(words), [*counts], [*counts.values()]))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.string())), pa.array([x[2] for x in out], pa.list_(pa.int64()))], names=["doc_id", "toxic", "sketch", "words", "counts"])
+            out.append((hashlib.sha256(" ".join(words).encode()).digest(), hashed(counts).tobytes(), np.fromiter(counts.values(), np.int32, len(counts)).tobytes()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *(pa.array([x[k] for x in out], pa.binary()) for k in range(3))], names=["doc_id", "toxic", "sketch", "words", "counts"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
-    """Learn from labels (doc_id, toxic): a sample of max_examples rows at most, the first by a hash of doc_id; corpus figures from all docs.
+def choose(corpus: DataFrame, labels: DataFrame, max_examples: int, max_chars: int) -> DataFrame:
+    """doc_id, toxic of the sample: labelled documents by a hash of doc_id, as many as both bounds allow."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    size = corpus.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n"))
+    rows = known.join(size, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).collect()
+    total, out = 0, []
+    for r in rows:
+        total += r["n"]
+        if total <= max_chars:
+            out.append((r["doc_id"], r["toxic"]))
+    return corpus.sparkSession.createDataFrame(out, "doc_id long, toxic int")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_chars: int = MAX_CHARS) -> Model:
+    """Learn from labels (doc_id, toxic): a sample of max_examples documents and max_chars characters at most, the first by a hash of doc_id; corpus figures from all docs.
 
     Of examples of the same words in the same order and the same label one stays.
-    The sample is bounded, so the driver holds at most max_examples word lists, and their vocabulary may be broadcast.
+    The sample is bounded, so the driver holds at most the word counts of that
+    many texts, and their vocabulary may be broadcast.
     """
     corpus = texts(docs)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.join(corpus.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    # The ids of the sample are at most max_examples, so they may be broadcast; the texts stay where they are.
-    chosen = corpus.join(F.broadcast(sample), "doc_id").mapInArrow(_examples, "doc_id long, toxic int, sketch string, words array<string>, counts array<long>")
-    by_sketch: dict[tuple[str, int], tuple] = {}
-    for b in chosen.toArrow().to_batches(max_chunksize=500):
+    # The ids of the sample are at most max_examples, so they may be broadcast; the texts stay where they are but for those of a repeated id, of which one is taken.
+    chosen = corpus.join(F.broadcast(choose(corpus, labels, max_examples, max_chars)), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    by_sketch: dict[tuple[bytes, int], tuple] = {}
+    for b in chosen.mapInArrow(_examples, "doc_id long, toxic int, sketch binary, words binary, counts binary").toArrow().to_batches(max_chunksize=500):
         for r in b.to_pylist():
             key = (r["sketch"], r["toxic"])
             if key not in by_sketch or r["doc_id"] < by_sketch[key][0]:  # one example of equal texts and labels
-                by_sketch[key] = (r["doc_id"], r["toxic"], Counter(dict(zip(map(sys.intern, r["words"]), r["counts"], strict=True))))
+                by_sketch[key] = (r["doc_id"], r["toxic"], np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.int32))
     rows = sorted(by_sketch.values(), key=lambda x: x[0])
-    vocabulary: set[str] = set()
-    for r in rows:
-        vocabulary.update(expand(r[2]))
-    terms = sorted(vocabulary)
+    terms = np.unique(np.concatenate([r[2] for r in rows])) if rows else np.zeros(0, np.uint64)
     frequency, n_docs = np.zeros(len(terms)), 0
-    if terms:
-        find = {t: i for i, t in enumerate(terms)}
-        places = docs.sparkSession.sparkContext.broadcast((find, [find.get(t[:PREFIX] + "*") if len(t) > PREFIX and t[-1] != "*" else None for t in terms]))
-        counted = corpus.select("text").mapInArrow(_frequencies(places), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        at, n = counted["term"].to_numpy(), counted["n"].to_numpy()
-        n_docs = int(n[at < 0].sum())
-        frequency[at[at >= 0]] = n[at >= 0]
+    if len(terms):
+        places = docs.sparkSession.sparkContext.broadcast(terms)
+        counted = corpus.select("text").mapInArrow(_frequencies(places), "range int, counts binary").repartition("range").mapInArrow(_total, "range int, counts binary")
+        found = {r["range"]: np.frombuffer(r["counts"], np.int64) for r in counted.toArrow().to_pylist()}
+        n_docs, frequency = int(found[-1][0]), np.concatenate([found[k] for k in range(RANGES)])
+    for k, (i, y, words, counts) in enumerate(rows):
+        ts = look_up(terms, words)
+        order = np.argsort(ts)
+        rows[k] = (i, y, ts[order].astype(np.int32), counts[order])
     return train(rows, frequency, n_docs, terms)
 
 
+def _slices(batches, rows: int = 1_024):
+    """Batches of fewer rows, so that few texts are held twice."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, evidence (ids and similarities of the nearest examples) of each row of docs; no shuffle. The model is bounded, so it may be broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = held.value
-        for b in batches:
+        for b in _slices(batches):
             found = m.scores(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([min(1.0, max(0.0, s)) for s, _ in found], pa.float64()), pa.array([",".join(f"{i}:{x:.4f}" for i, x in e) for _, e in found], pa.string())], names=["doc_id", "score", "evidence"]
@@ -328,7 +376,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, reject_from: float = REJECT_F
 
     def run(batches):
         m = held.value
-        for b in batches:
+        for b in _slices(batches):
             kept = [x < reject_from for x, _ in m.scores([t or "" for t in b.column("text").to_pylist()])]
             yield b.filter(pa.array(kept, pa.bool_()))
 
