@@ -1,17 +1,20 @@
 """Best-fit packing by a grouping genetic algorithm.
 
 Documents become token sequences; only those longer than a sequence are cut.
-Pieces are dealt by a hash into shards of about SHARD pieces. On each shard
-several islands evolve packings: crossover injects whole well-filled bins of one
-parent into another, bins that now hold a piece twice are dissolved, and the
-displaced pieces go to the bins that they fit best. Then each island's elite
-migrates to the shard's others and the best packing found wins. A shard is all
-that a task ever holds, so memory is bounded and a lost executor costs a shard.
+Pieces are dealt by a hash into shards of about SHARD pieces. A shard is first
+packed best fit, greatest first; if that meets the lower bound it is done, as no
+packing has fewer sequences. Otherwise several islands evolve packings: crossover
+injects whole well-filled bins of one parent into another, bins that now hold a
+piece twice are dissolved, and the displaced pieces go to the bins that they fit
+best. After each epoch every island's elite migrates to the next island, and in
+the end the best packing found wins. A shard is all that a task ever holds, so
+memory is bounded and a lost executor costs a shard.
 
 Defined cases: null text counts as empty, and an empty text is one piece of one
 token (the closing id); an empty table gives no rows; repeated rows are packed
 as pieces of their own; pieces of a whole sequence fill one alone; other columns
-are left out. Equal inputs give equal packings.
+are left out. Special tokens of the vocabulary that a text spells out get their own
+ids, as the library gives them. Equal inputs give equal packings.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from .common import materialize, texts
 
 LENGTH = 2048
 SHARD = 4_000
-ISLANDS, POPULATION, GENERATIONS = 2, 3, 4
+#: Islands to a shard; packings on one; generations between migrations, and how many of these rounds.
+ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 5, 10, 3
 CACHE = 500_000
 END = 0
 #: How the byte-level alphabet writes the bytes that aren't printable: in order, from 256 on.
@@ -56,7 +60,6 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         # Words of letters go to the model itself if the steps before it are known to leave them whole.
@@ -189,84 +192,131 @@ def mutate(bins: list[list[int]], sizes: list[int], length: int, rng: random.Ran
     return best_fit(items, sizes, length, [list(b) for k, b in enumerate(bins) if k not in gone])
 
 
+def seed_packing(sizes: list[int], length: int) -> list[list[int]]:
+    """Best fit, greatest first."""
+    return best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, length)
+
+
 def evolve(sizes: list[int], length: int, seed: int, elites: list[list[list[int]]] | None = None, population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
-    """The best packing of items of the given sizes that one island finds; elites: packings that migrated to it."""
+    """The best packing of items of the given sizes that one island finds; elites: packings that it begins with, its own or migrated ones. Ends at the lower bound."""
     rng = random.Random(seed)
     floor = -(-sum(sizes) // length)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    group = [[list(b) for b in e] for e in elites or []]
-    if not group:
-        group.append(best_fit(order, sizes, length))
-        while len(group) < population:  # the same, with the order blurred
-            group.append(best_fit(sorted(order, key=lambda i: -sizes[i] * rng.uniform(0.93, 1.0)), sizes, length))
-    rank = lambda b: fitness(b, sizes, length)
-    group.sort(key=rank)
-    for _ in range(generations):
-        if len(group[0]) <= floor:
+    group: list[tuple[tuple[int, float], list[list[int]]]] = []
+
+    def enter(bins):
+        group.append((fitness(bins, sizes, length), bins))
+
+    for e in elites or [seed_packing(sizes, length)]:
+        enter([list(b) for b in e])
+    while len(group) < population:  # the same, with the order blurred
+        blur = {i: -sizes[i] * rng.uniform(0.93, 1.0) for i in order}
+        enter(best_fit(sorted(order, key=blur.__getitem__), sizes, length))
+    group.sort(key=lambda g: g[0])
+    # Small shards get as many more generations as theirs are cheaper.
+    for _ in range(min(50 * generations, max(generations, generations * SHARD // max(1, len(sizes))))):
+        if group[0][0][0] <= floor:
             break
-        a, b = rng.sample(range(len(group)), 2) if len(group) > 1 else (0, 0)
-        child = cross(group[a], group[b], sizes, length, rng)
-        group = sorted([*group, child, mutate(group[0], sizes, length, rng)], key=rank)[:population]
-    return group[0]
+        a, b = sorted(rng.sample(range(len(group)), 2)) if len(group) > 1 else (0, 0)
+        enter(cross(group[a][1], group[b][1], sizes, length, rng))
+        enter(cross(group[b][1], group[0][1], sizes, length, rng))
+        enter(mutate(group[0][1], sizes, length, rng))
+        group = sorted(group, key=lambda g: g[0])[: max(population, 1)]
+    return group[0][1]
 
 
-ROUND = f"shard long, island int, {PIECES}, bin int"
+COLUMNS = [c.split()[0] for c in PIECES.split(", ")]
+STATE = f"shard long, island int, {PIECES}, bin int, done boolean"
 
 
-def _islands(length: int, islands: int):
-    def run(key, pdf):
-        import pandas as pd
+def _state(pdf, island: int, bins: list[list[int]], done: bool):
+    import pandas as pd
+
+    at = [0] * len(pdf)
+    for k, b in enumerate(bins):
+        for i in b:
+            at[i] = k
+    return pd.DataFrame({"shard": pdf["shard"], "island": island, **{c: pdf[c] for c in COLUMNS}, "bin": at, "done": done}).astype({"island": "int32", "piece": "int32", "bin": "int32"})
 
+
+def _bins(at: list[int]) -> list[list[int]]:
+    bins: dict[int, list[int]] = {}
+    for i, k in enumerate(at):
+        bins.setdefault(k, []).append(i)
+    return [*bins.values()]
+
+
+def _seed(length: int):
+    """The packing that all islands of a shard begin with; done: it meets the lower bound, so none can be better."""
+
+    def run(pdf):
         pdf = pdf.sort_values("uid", kind="stable").reset_index(drop=True)
         sizes = pdf["length"].tolist()
-        bins = evolve(sizes, length, seed=int(key[0]) * 1_000_003 + int(key[1]))
-        at = [0] * len(sizes)
-        for k, b in enumerate(bins):
-            for i in b:
-                at[i] = k
-        return pd.DataFrame({"shard": pdf["shard"], "island": pdf["island"], **{c: pdf[c] for c in ("uid", "doc_id", "piece", "start", "length", "ids_crc32")}, "bin": at}).astype({"island": "int32", "piece": "int32", "bin": "int32"})
+        bins = seed_packing(sizes, length)
+        return _state(pdf, -1, bins, len(bins) <= -(-sum(sizes) // length))
+
+    return run
+
+
+def _epoch(length: int, epoch: int):
+    """One island's generations, from its own best packing and the one that migrated to it."""
+
+    def run(key, pdf):
+        parts = [g.sort_values("uid", kind="stable").reset_index(drop=True) for _, g in pdf.groupby("guest")]
+        sizes = parts[0]["length"].tolist()
+        best = evolve(sizes, length, (int(key[0]) * 1_000_003 + int(key[1])) * 101 + epoch, elites=[_bins(g["bin"].tolist()) for g in parts])
+        return _state(parts[0], int(key[1]), best, len(best) <= -(-sum(sizes) // length))
 
     return run
 
 
-def _migrate(length: int, islands: int):
+def _settle(length: int):
+    """Sequences of a shard, from its islands' best packing."""
+
     def run(key, pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["island", "uid"], kind="stable")
-        parts = [g.reset_index(drop=True) for _, g in pdf.groupby("island")]
-        sizes, elites = parts[0]["length"].tolist(), []
-        for g in parts:
-            bins: dict[int, list[int]] = {}
-            for i, k in enumerate(g["bin"].tolist()):
-                bins.setdefault(k, []).append(i)
-            elites.append([*bins.values()])
-        best = evolve(sizes, length, seed=int(key[0]) * 7_919 + 17, elites=elites)
-        seq, off = [0] * len(sizes), [0] * len(sizes)
-        for k, b in enumerate(best):
+        choices = []
+        for island, g in pdf.groupby("island"):
+            g = g.sort_values("uid", kind="stable").reset_index(drop=True)
+            bins = _bins(g["bin"].tolist())
+            choices.append((fitness(bins, g["length"].tolist(), length), island, bins, g))
+        _, _, bins, g = min(choices, key=lambda c: c[:2])
+        sizes, seq, off = g["length"].tolist(), [0] * len(g), [0] * len(g)
+        for k, b in enumerate(bins):
             at = 0
             for i in b:
                 seq[i], off[i] = (int(key[0]) << 32) + k, at
                 at += sizes[i]
-        g = parts[0]
-        return pd.DataFrame({**{c: g[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}, "sequence_id": seq, "offset": off}).astype({"piece": "int32"})
+        return pd.DataFrame({**{c: g[c] for c in COLUMNS[1:]}, "sequence_id": seq, "offset": off}).astype({"piece": "int32"})
 
     return run
 
 
-def pack(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD, islands: int = ISLANDS) -> DataFrame:
+def pack(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """Sequences of at most length tokens for pieces (PIECES): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    pieces must be fixed (materialized): it is read more than once.
+    pieces must be fixed (materialized): it is read more than once. Shards whose
+    seed meets the lower bound are done; the others evolve on islands, in epochs
+    between which each island's best packing also goes to the next one.
     """
     whole = pieces.filter(F.col("length") >= length).select("doc_id", "piece", "start", "length", "ids_crc32", F.expr("-1 - uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = pieces.filter(F.col("length") < length)
-    n = part.count()
-    shards = max(1, -(-n // shard))
-    dealt = part.withColumn("shard", F.expr(f"pmod(xxhash64(uid), {shards})")).withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(islands)])))
-    evolved = dealt.groupBy("shard", "island").applyInPandas(_islands(length, islands), ROUND)
-    packed = evolved.groupBy("shard").applyInPandas(_migrate(length, islands), PACKED)
-    return whole.unionByName(packed)
+    shards = max(1, -(-part.count() // shard))
+    dealt = part.withColumn("shard", F.expr(f"pmod(xxhash64(uid), {shards})"))
+    seeded = materialize(dealt.groupBy("shard").applyInPandas(_seed(length), STATE), "seeded")
+    settled = seeded.filter("done")
+    state = seeded.filter("not done").withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(islands)])))
+    for epoch in range(epochs):
+        if not state.limit(1).count():
+            break
+        guests = state.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1)) if epoch and islands > 1 else F.array(F.lit(0))))
+        met = guests.withColumn("island", F.pmod(F.col("island") + F.col("guest"), F.lit(islands)))
+        evolved = materialize(met.groupBy("shard", "island").applyInPandas(_epoch(length, epoch), STATE), "islands")
+        over = evolved.filter("done").select("shard").distinct()
+        settled = settled.unionByName(evolved.join(over, "shard", "left_semi"))
+        state = evolved.join(over, "shard", "left_anti")
+    return whole.unionByName(settled.unionByName(state).groupBy("shard").applyInPandas(_settle(length), PACKED))
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
