@@ -11,8 +11,9 @@ Defined cases: a null text counts as empty; an empty text has the empty
 fingerprint, whose likeness is 1 to itself and 0 to any other; a text without a
 whole chain takes its word triples, and with fewer words the text itself, as
 signatures, so that only empty texts have none; documents of equal id follow
-each other by text, greatest first; a single document is its own next one; an
-empty table gives no rows. Other columns are left out.
+each other by the hash of their text, greatest first, and those without an id come
+last; a single document is its own next one; an empty table gives no rows. Other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -124,15 +125,15 @@ def compare_with_next(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     n = ids.count()
     runs = max(1, min(MAX_RUNS, n // run_rows))
     borders = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / runs for k in range(1, runs)], 0.25 / runs)}) if runs > 1 else []
-    placed = rows.withColumn("run", _run_of(F.coalesce("doc_id", F.lit(-(1 << 63))), borders).cast("int"))
-    ends = sorted((r["run"], r["top"]) for r in placed.groupBy("run").agg(F.max("doc_id").alias("top")).collect())
+    placed = rows.withColumn("hash", F.xxhash64("text")).withColumn("run", _run_of(F.coalesce("doc_id", F.lit(-(1 << 63))), borders).cast("int"))
+    top = F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "hash")).alias("top")
+    ends = sorted((r["run"], r["top"]["doc_id"], r["top"]["hash"]) for r in placed.groupBy("run").agg(top).collect())
     # The document after a run's smallest id is the greatest of the run below; after the lowest run comes the highest.
-    guests = {ends[k - 1][1]: ends[k][0] for k in range(len(ends))} if ends else {}
-    own = placed.withColumn("guest", F.lit(False))
-    heads = docs.sparkSession.createDataFrame([(int(t), int(r)) for t, r in guests.items() if t is not None], "doc_id long, run int")
-    visiting = rows.join(F.broadcast(heads), "doc_id").withColumn("guest", F.lit(True)).select("doc_id", "text", "run", "guest")
-    all_rows = own.select("doc_id", "text", "run", "guest").unionByName(visiting)
-    ordered = all_rows.repartition("run").sortWithinPartitions(F.col("run"), F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    heads = docs.sparkSession.createDataFrame([(ends[k - 1][1], ends[k - 1][2], ends[k][0]) for k in range(len(ends))], "id long, hash long, to int")
+    visiting = placed.join(F.broadcast(heads), placed["doc_id"].eqNullSafe(heads["id"]) & (placed["hash"] == heads["hash"]))
+    visiting = visiting.select(placed["doc_id"], placed["text"], placed["hash"], F.col("to").alias("run"), F.lit(True).alias("guest"))
+    all_rows = placed.select("doc_id", "text", "hash", "run", F.lit(False).alias("guest")).unionByName(visiting)
+    ordered = all_rows.repartition("run").sortWithinPartitions(F.col("run"), F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("text").desc())
     return ordered.select("run", "doc_id", "text", "guest").mapInArrow(_compare, SCHEMA)
 
 
