@@ -3,17 +3,19 @@
 A document's set holds the hashes of its distinct word shingles. The join runs in
 three steps, none of which drops a pair:
 
-1. Routing. Equal sets become one. For thresholds of CLOSE percent or more, linked
-   sets of two neighbouring size classes differ in at most d shingles, so of d + 1
-   parts by hash they have one in common; where that part can be an empty one, they
-   are parted by further hashes. Below, in any fixed order of shingles linked sets
-   share one of their first (1 - t) * n + 1; the order puts the shingles of many
-   documents last, so a passage that many quote doesn't count. Sets that share such
-   a key and a size class are tied, and the components of these ties are the
-   clusters that can hold links. Each block of rows first ties its own sets and
-   passes on one (key, tied sets) pair a key, packed with others of its bucket of
-   keys; a bucket gives a star for each group of tied sets. So a frequent key arrives
-   as often as there are blocks, and ties grow with the sets, never with their pairs.
+1. Routing. Equal sets become one. For thresholds of PARTED percent or more, linked
+   sets of two neighbouring size classes differ in at most d shingles, so of d + 1 + e
+   parts by hash e + 1 are equal, and one of these isn't empty if either set has e
+   empty parts at most; sets with more are parted again by another hash. The first
+   parting leaves out the shingles of very many documents, so that a passage that
+   many quote doesn't count. For lower thresholds, in any fixed order of shingles
+   linked sets share one of their first (1 - t) * n + 1; the order puts those
+   shingles last. Sets that share such a key and a size class are tied, and the
+   components of these ties are the clusters that can hold links. Each block of rows
+   first ties its own sets and passes on one (key, tied sets) pair a key, packed with
+   others of its bucket of keys; a bucket gives a star for each group of tied sets.
+   So a frequent key arrives as often as there are blocks, and ties grow with the
+   sets, never with their pairs.
 2. Signature trees. A cluster, or a chunk of a large one, is one tree: leaves are
    sets in an order that brings alike ones together, and each node holds the OR
    of its token bitmaps, its range of sizes and the most tokens that share bits.
@@ -58,10 +60,10 @@ from .common import discard, discard_path, like_documents, materialize, material
 CHUNK, FREQUENT, LOCALLY_FREQUENT = 256, 65_536, 3
 FANOUT = 8
 MEMBER_BITS = 1 << 24
-#: Percent from which a part of a set holds enough shingles (about nine at 90) to stand for it alone, and by how many hashes sets with empty parts are parted.
-CLOSE, PARTINGS = 88, 4
-#: A block of rows holds about so many keys (or shingles, when these are counted), and fewer sets than SETS; input bytes to a bucket of keys, and the range of their number.
-BLOCK_KEYS, SETS, BUCKET_BYTES, BUCKETS = 3_000_000, 1 << 22, 4 << 20, (8, 18)
+#: Percent from which a part of a set holds enough shingles (over three at 75, nine at 90) to stand for it alone, and from which frequent shingles don't matter; by how many hashes sets with too many empty parts are parted.
+PARTED, CLOSE, PARTINGS = 75, 88, 4
+#: A block of rows holds about so many keys (or shingles, when these are counted), and at most SETS rows; input bytes to a bucket of keys, and the range of their number.
+BLOCK_KEYS, SETS, BUCKET_BYTES, BUCKETS = 1_500_000, 1 << 20, 4 << 20, (8, 18)
 #: Groups of chunks whose largest parts meet, how many of each, and how often groups are grouped again (16 ** 6 chunks at least cover any cluster).
 GROUP, HEADS, LEVELS = 16, 4, 6
 
@@ -95,6 +97,7 @@ class Classes:
 
     def __init__(self, percent: int):
         self.percent, self.borders = percent, [1]
+        self.shapes: dict[int, tuple[int, int]] = {}
 
     def of(self, n: int) -> int:
         while self.borders[-1] <= n:
@@ -108,41 +111,59 @@ class Classes:
                 hi = mid
         return lo - 1
 
-    def parted_keys(self, tokens: np.ndarray) -> np.ndarray:
-        """Keys for close thresholds: linked sets of two neighbouring classes differ in at most d shingles, so of d + 1 parts by hash one is equal.
-
-        Where that part is empty in both sets, both are parted again by another
-        hash; after PARTINGS hashes the empty parts are keys themselves.
-        """
-        n, out = len(tokens), []
-        c = self.of(n)
-        while len(self.borders) < c + 4:
+    def shape(self, low: int) -> tuple[int, int]:
+        """Parts for linked sets of the classes low and low + 1, and how many of them may be empty; (0, 0) if only equal sets are linked, which are one already."""
+        while len(self.borders) < low + 3:
             self.borders.append(100 * self.borders[-1] // self.percent + 1)
-        for low in (c - 1, c):
-            if low < 0:
-                continue
+        if low not in self.shapes:
             smaller = self.borders[low + 1] - 1
             larger = min(self.borders[low + 2] - 1, 100 * smaller // self.percent)
-            d = (smaller + larger) * (100 - self.percent) // (100 + self.percent)
-            if not d:  # only equal sets are linked, and those are one already
+            d, e = (smaller + larger) * (100 - self.percent) // (100 + self.percent), 0
+
+            def empty(e):  # as many as chance leaves empty, and some more
+                mean = (d + 1 + e) * math.exp(-0.85 * self.borders[low] / (d + 1 + e))
+                return mean + 2 * math.sqrt(mean)
+
+            while e < (d + 1) // 8 and e < empty(e):
+                e += 1
+            self.shapes[low] = (d + 1 + e, e) if d else (0, 0)
+        return self.shapes[low]
+
+    def parted_keys(self, tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        """Keys for thresholds of PARTED percent or more: the sums of a set's parts, for both pairs of classes that it may be linked in.
+
+        A linked pair has one more equal part than may be empty. So it shares a
+        key of a parting unless both sets have more empty parts than that, and
+        then both go on to the next one; in the last, empty parts are keys too.
+        """
+        c, out = self.of(len(tokens)), []
+        rare = tokens
+        if len(frequent):
+            at = np.searchsorted(frequent, tokens)
+            at[at == len(frequent)] = 0
+            rare = tokens[frequent[at] != tokens]
+        for low in (c - 1, c):
+            parts, spare = self.shape(low) if low >= 0 else (0, 0)
+            if not parts:
                 continue
-            for k in range(PARTINGS):
-                part = ((tokens * np.uint64(2 * k + 1) >> np.uint64(20 + k)) % np.uint64(d + 1)).astype(np.int64)
-                sums = np.zeros(d + 1, np.uint64)
-                np.add.at(sums, part, tokens)
-                h = (sums ^ (np.arange(d + 1, dtype=np.uint64) + np.uint64((low + 1) * PARTINGS + k << 32)) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
+            for k in range(PARTINGS + 1):
+                own = rare if k == 0 else tokens
+                part = ((own * np.uint64(2 * k + 1) >> np.uint64(20 + k)) % np.uint64(parts)).astype(np.int64)
+                sums = np.zeros(parts, np.uint64)
+                np.add.at(sums, part, own)
+                h = (sums ^ (np.arange(parts, dtype=np.uint64) + np.uint64((low + 1) * (PARTINGS + 1) + k << 32)) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(31)
-                filled = np.bincount(part, minlength=d + 1) > 0
-                if filled.all():
-                    out.append(h)
+                filled = np.bincount(part, minlength=parts) > 0
+                enough = parts - int(filled.sum()) <= spare
+                out.append(h if k == PARTINGS and not enough else h[filled])
+                if enough:
                     break
-                out.append(h if k == PARTINGS - 1 else h[filled])
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
     def keys(self, tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Keys of a set: its parts for close thresholds, else its first shingles in the order, with both size classes where it may meet a partner."""
-        if self.percent >= CLOSE:
-            return self.parted_keys(tokens)
+        """Keys of a set: its parts, or for low thresholds its first shingles in the order, with both size classes where it may meet a partner."""
+        if self.percent >= PARTED:
+            return self.parted_keys(tokens, frequent)
         n = len(tokens)
         at = np.searchsorted(frequent, tokens)
         at[at == len(frequent)] = 0
@@ -281,9 +302,9 @@ def _frequent(size: int):
     return run
 
 
-ROUTED = "bucket int, kind int, block long, doc_id long, text_hash long, n_shingles long, name binary, node long, keys binary, owners binary"
+ROUTED = "bucket int, kind int, doc_id long, text_hash long, n_shingles long, name binary, node long, keys binary, owners binary"
 TIED = "kind int, doc_id long, text_hash long, n_shingles long, name binary, node long, other long"
-_TYPES = {"bucket": pa.int32(), "kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "name": pa.binary(), "node": pa.int64(), "other": pa.int64(), "keys": pa.binary(), "owners": pa.binary()}
+_TYPES = {"bucket": pa.int32(), "kind": pa.int32(), "doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "name": pa.binary(), "node": pa.int64(), "other": pa.int64(), "keys": pa.binary(), "owners": pa.binary()}
 
 
 def _batch(schema: str, n: int, **columns):
@@ -310,7 +331,7 @@ class Block:
         self.rows.append((*row, len(tokens), name, at))
 
     def batches(self, block: int, bits: int):
-        """A row a document (kind 0) with the first set that its own is tied to here, and the keys of each bucket with their tied sets (kind 1)."""
+        """A row a document (kind 0) with the first set that its own is tied to here (node), and the keys of each bucket with their nodes (kind 1)."""
         sets = len(self.known)
         parts = Parts(sets)
         key = np.concatenate(self.keys) if self.keys else np.empty(0, np.uint64)
@@ -318,22 +339,27 @@ class Block:
         order = np.argsort(key, kind="stable")
         key, owner = key[order], owner[order]
         _star(key, owner, parts)
-        root = np.fromiter(map(parts.find, range(sets)), np.int64, sets)
+        # A group of tied sets is known by the least hash of their names, so copies have one node in every block and need no tie.
+        hashes = np.frombuffer(b"".join(k[:8] for k in self.known), np.int64)
+        group = np.fromiter(map(parts.find, range(sets)), np.int64, sets)
+        least = np.full(sets, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, hashes)
+        root = least[group]
         doc_id, text_hash, n, name, at = zip(*self.rows, strict=True)
-        node = [None if a is None else block * SETS + int(root[a]) for a in at]
+        node = [None if a is None else int(root[a]) for a in at]
         for a in range(0, len(self.rows), 20_000):
             e = slice(a, a + 20_000)
             yield _batch(ROUTED, len(name[e]), bucket=(np.arange(len(name[e])) + 7919 * (block >> 20)).astype(np.int32) % (1 << bits), kind=np.zeros(len(name[e]), np.int32), doc_id=doc_id[e], text_hash=text_hash[e], n_shingles=n[e], name=name[e], node=node[e])
         if len(key):
             # Sets that share a key are tied by now, so one of them stands for it. 32 bits of a key within its bucket do: a tie by chance is no link.
             first = np.r_[True, key[1:] != key[:-1]]
-            key, who = key[first], root[owner[first]].astype(np.uint32)
+            key, who = key[first], root[owner[first]]
             bucket, low = (key >> np.uint64(64 - bits)).astype(np.int64), ((key >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             end = np.r_[begin[1:], len(bucket)]
             for a in range(0, len(begin), 2_000):
                 spans = list(zip(begin[a : a + 2_000].tolist(), end[a : a + 2_000].tolist(), strict=True))
-                yield _batch(ROUTED, len(spans), bucket=bucket[begin[a : a + 2_000]].astype(np.int32), kind=np.ones(len(spans), np.int32), block=np.full(len(spans), block, np.int64), keys=[low[x:y].tobytes() for x, y in spans], owners=[who[x:y].tobytes() for x, y in spans])
+                yield _batch(ROUTED, len(spans), bucket=bucket[begin[a : a + 2_000]].astype(np.int32), kind=np.ones(len(spans), np.int32), keys=[low[x:y].tobytes() for x, y in spans], owners=[who[x:y].tobytes() for x, y in spans])
 
 
 def _star(key: np.ndarray, owner: np.ndarray, parts: Parts) -> None:
@@ -348,7 +374,7 @@ def _star(key: np.ndarray, owner: np.ndarray, parts: Parts) -> None:
 
 
 def _route(size: int, percent: int, held, bits: int):
-    """Rows and keys of each block of a task's rows (ROUTED)."""
+    """Rows and keys of each block of a task's rows (ROUTED). held: a broadcast of frequent shingles and their ranks."""
 
     def run(batches):
         frequent, rank = held.value
@@ -356,7 +382,7 @@ def _route(size: int, percent: int, held, bits: int):
         for b in batches:
             for d, h, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
                 block.add((d, h), shingles(t, size), lambda s: classes.keys(s, frequent, rank))
-                if block.n_keys >= BLOCK_KEYS or len(block.rows) >= SETS - 1:
+                if block.n_keys >= BLOCK_KEYS or len(block.rows) >= SETS:
                     yield from block.batches(number, bits)
                     block, number = Block(), number + 1
         if block.rows:
@@ -394,7 +420,7 @@ def _tie(batches):
                 keys, owners, held = [], [], 0
             now = bucket
             keys.append(np.frombuffer(b.column("keys")[i].as_py(), np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
-            owners.append(np.frombuffer(b.column("owners")[i].as_py(), np.uint32).astype(np.int64) + b.column("block")[i].as_py() * SETS)
+            owners.append(np.frombuffer(b.column("owners")[i].as_py(), np.int64))
             held += len(keys[-1])
     if keys:
         yield ties()
@@ -531,54 +557,67 @@ def bucket_bits(docs: DataFrame) -> int:
     return min(BUCKETS[1], max(BUCKETS[0], math.ceil(math.log2(max(1, size) / BUCKET_BYTES)) if size > BUCKET_BYTES else 0))
 
 
+def _tied(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents of routed (ROUTED), and (node, label) of the sets that ties connect."""
+    tied, path = materialize_by(routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie, TIED), "tied", "kind")
+    clusters = connected(tied.filter("kind = 2").select("node", "other"), "node", "other")
+    discard_path(routed.sparkSession, f"{path}/kind=2")
+    every = tied.filter("kind = 0").select("doc_id", "text_hash", "n_shingles", "name", "node")
+    every._lodestone_path = path
+    return every, clusters
+
+
+def _packed(rows: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, text_hash, packed text and columns of chosen (doc_id, text_hash, ...), a materialized part of rows (doc_id, text_hash, text).
+
+    Only chosen documents are moved. They are told by a bitmap of their hashes of
+    a fixed size; what it lets through by chance, the join drops. Packed texts are
+    a fraction of their shingles' hashes, so texts move and are shingled where
+    they arrive.
+    """
+    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(MEMBER_BITS))
+    words = chosen.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(MEMBER_BITS // 64, np.uint64)
+    bitmap[np.asarray(words.column("word").to_numpy(), np.int64)] = np.asarray(words.column("bits").to_numpy(), np.int64).view(np.uint64)
+    member_of = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        known, met = member_of.value, set()
+        for b in batches:
+            h = np.asarray(b.column("bit").to_numpy(zero_copy_only=False), np.int64)
+            b = b.take(pa.array(np.flatnonzero((known[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))))
+            own = [r for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True) if r[:2] not in met and not met.add(r[:2])]
+            pack = zstandard.ZstdCompressor(level=3).compress
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.int64()), pa.array([r[1] for r in own], pa.int64()), pa.array([pack(r[2].encode("utf-8", "surrogatepass")) for r in own], pa.binary())], names=["doc_id", "text_hash", "packed"])
+
+    packed = rows.select("doc_id", "text_hash", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, text_hash long, packed binary")
+    joined = packed.join(chosen, packed["doc_id"].eqNullSafe(chosen["doc_id"]) & (packed["text_hash"] == chosen["text_hash"]))
+    return joined.select(packed["doc_id"], packed["text_hash"], packed["packed"], *columns)
+
+
 def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """A row for each of docs (doc_id, text_hash, n_shingles, name), and of each name (component_id, component: a name that all of a component share)."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    # Only the order of first shingles needs to know which are frequent.
+    # For close thresholds parts are large, and need not know which shingles are frequent.
     often = rows.select("text").filter(F.lit(percent < CLOSE)).mapInArrow(_frequent(shingle), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(FREQUENT).toArrow()
     token, n = np.asarray(often.column("token").to_numpy(), np.int64).view(np.uint64), np.asarray(often.column("n").to_numpy(), np.int64)
     order = np.argsort(token)
     held = spark.sparkContext.broadcast((token[order], n[order]))
-    routed = rows.select("doc_id", "text_hash", "text").mapInArrow(_route(shingle, percent, held, bucket_bits(docs)), ROUTED)
-    tied, tied_path = materialize_by(routed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie, TIED), "tied", "kind")
-
-    clusters = connected(tied.filter("kind = 2").select("node", "other"), "node", "other")
-    discard_path(spark, f"{tied_path}/kind=2")
-    every = tied.filter("kind = 0").select("doc_id", "text_hash", "n_shingles", "name", "node")
+    bits = bucket_bits(docs)
+    every, clusters = _tied(rows.select("doc_id", "text_hash", "text").mapInArrow(_route(shingle, percent, held, bits), ROUTED))
     # Of each set the row of smallest id stands for it, one without an id only if there is no other. Copies of a set in many blocks have many nodes, of one cluster.
     one = every.filter("name is not null").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("of"), F.min("node").alias("node"))
     one = materialize(one.select("name", "node", "of.doc_id", "of.text_hash"), "one")
     clustered = materialize(one.join(clusters, "node").select("doc_id", "text_hash", "name", F.col("label").alias("cluster")), "clustered")
     discard(clusters)
     # A cluster of one set (copies in several blocks) holds no link.
-    sizes = clustered.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").withColumn("chunks", F.ceil(F.col("n") / F.greatest(F.lit(CHUNK), F.sqrt("n"))).cast("int"))
-    sizes = materialize(sizes.select("cluster", "chunks"), "sizes")
+    counted = materialize(clustered.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    sizes = materialize(counted.select("cluster", F.ceil(F.col("n") / F.greatest(F.lit(CHUNK), F.sqrt("n"))).cast("int").alias("chunks")), "sizes")
     chunked = clustered.join(sizes, "cluster").select("doc_id", "text_hash", "name", "cluster", F.pmod(F.hash("name"), "chunks").alias("chunk"), (F.col("chunks") > 1).alias("is_large"))
     chunked = materialize(chunked, "chunked")
     discard(clustered)
-
-    # Only documents that stand for a clustered set are shingled again and moved. They are told by a bitmap of
-    # their hashes of a fixed size; what it lets through by chance, the join drops.
-    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(MEMBER_BITS))
-    words = chunked.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(MEMBER_BITS // 64, np.uint64)
-    bitmap[np.asarray(words.column("word").to_numpy(), np.int64)] = np.asarray(words.column("bits").to_numpy(), np.int64).view(np.uint64)
-    member_of = spark.sparkContext.broadcast(bitmap)
-
-    def set_rows(batches):
-        known, met = member_of.value, set()
-        for b in batches:
-            h = np.asarray(b.column("bit").to_numpy(zero_copy_only=False), np.int64)
-            b = b.take(pa.array(np.flatnonzero((known[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))))
-            rows = [r for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True) if r[:2] not in met and not met.add(r[:2])]
-            pack = zstandard.ZstdCompressor(level=3).compress
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([pack(r[2].encode("utf-8", "surrogatepass")) for r in rows], pa.binary())], names=["doc_id", "text_hash", "packed"])
-
-    # Packed texts are a fraction of their shingles' hashes, so texts move and are shingled where they arrive.
-    packed = rows.select("doc_id", "text_hash", "text", bit.alias("bit")).mapInArrow(set_rows, "doc_id long, text_hash long, packed binary")
-    members = packed.join(chunked, packed["doc_id"].eqNullSafe(chunked["doc_id"]) & (packed["text_hash"] == chunked["text_hash"])).select("cluster", "chunk", "name", "packed", "is_large")
-    placed = members.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "name")
+    placed = _packed(rows, chunked, "cluster", "chunk", "name", "is_large").repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "name")
     parts = materialize(placed.mapInArrow(_chunk_links(shingle, percent), LINKED), "parts")
     discard(chunked)
     part_of = parts.select("name", "part").distinct()
