@@ -609,7 +609,8 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     # Of each set the row of smallest id stands for it, one without an id only if there is no other. Copies of a set in many blocks have many nodes, of one cluster.
     one = every.filter("name is not null").groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "text_hash")).alias("of"), F.min("node").alias("node"))
     one = materialize(one.select("name", "node", "of.doc_id", "of.text_hash"), "one")
-    clustered = materialize(one.join(clusters, "node").select("doc_id", "text_hash", "name", F.col("label").alias("cluster")), "clustered")
+    # Sets tied within one block only have a node that no tie between blocks names: it is their cluster.
+    clustered = materialize(one.join(clusters, "node", "left").select("doc_id", "text_hash", "name", F.coalesce("label", "node").alias("cluster")), "clustered")
     discard(clusters)
     # A cluster of one set (copies in several blocks) holds no link.
     counted = materialize(clustered.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
