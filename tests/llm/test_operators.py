@@ -494,6 +494,8 @@ def test_jaccard_components(spark, docs, size, percent, chunk, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(df, size, percent).collect()}
     assert got == H.jaccard_components(rows, size, percent)
+    alone = jaccard_join.components(df.coalesce(1), size, percent)  # all ties are within one block
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in alone.collect()} == got
 
 
 def test_jaccard_rows_without_ids(spark):
