@@ -17,11 +17,13 @@ DIR_CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one is chosen and set only if the session names none."""
+    """The shared folder for intermediate tables; where the session names none, a temporary one on a single machine, an error on a cluster."""
     found = spark.conf.get(DIR_CONF, None) or spark.sparkContext.getConf().get(DIR_CONF)
     if not found:
         found = getattr(spark, "_lodestone_dir", None)
         if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError(f"set {DIR_CONF} to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="lodestone-")
             spark._lodestone_dir = found
     return found.rstrip("/")
