@@ -296,3 +296,44 @@ def test_pruning_to_the_fraction_of_a_second(spark, tmp_path):
     assert ids(ts=(None, at(0, 0, 0, 700_000))) == [1] and ids(ts=(None, at(0, 0, 0, 400_000))) == [] and ids(ts=(at(12, 0, 0, 200_000), None)) == [2]
     assert ids(ts=(at(13, 0, z=timezone(timedelta(hours=1))), None)) == [2] and t.files_scanned({"ts": (at(13, 0, 1, z=timezone(timedelta(hours=1))), None)}) == (0, 2)
     assert ids(d=(date(2024, 1, 2), None)) == [2] and t.files_scanned({"d": (datetime(2024, 1, 2), None)}) == (1, 2)
+
+
+def test_changes_rewrite_only_the_files_they_touch(spark, table):
+    table.append(spark.range(2_000).select("id", F.concat(F.lit("n"), F.col("id")).alias("name"), (F.col("id") * 1.0).alias("v")))
+    table.optimize(["id"], files=20)
+    paths = lambda: {f["path"] for f in table.snapshot().files}
+    before = paths()
+    assert len(before) == 20
+    table.merge(spark.range(1_000, 1_020).select("id", F.lit("new").alias("name"), F.lit(-1.0).alias("v")), "id")
+    assert len(before - paths()) <= 2  # one percent of the keys, which are neighbours
+    assert table.read().count() == 2_000 and table.read().filter("name = 'new'").count() == 20
+    kinds = {r[0]: r[1] for r in table.changes(table.latest_version()).groupBy("_change_type").count().collect()}
+    assert kinds == {"update_preimage": 20, "update_postimage": 20}
+
+    before = paths()
+    table.update("id = 7", {"v": F.lit(70.0)})
+    assert len(before - paths()) == 1
+    before = paths()
+    table.delete("id = 1999 OR id IS NULL")
+    assert len(before - paths()) == 1
+    assert table.read().count() == 1_999 and table.read().filter("id = 7").first()["v"] == 70.0
+
+    before = paths()
+    table.merge(spark.createDataFrame([(5_000, "far", 1.0), (None, "none", 2.0)], "id long, name string, v double"), "id")  # inserts only
+    assert before <= paths() and table.read().count() == 2_001
+    before = paths()
+    table.merge(spark.createDataFrame([], "id long, name string, v double"), "id")
+    table.delete("id = -1")
+    assert before <= paths() and table.read().count() == 2_001
+
+
+def test_partition_values_that_paths_must_escape(spark, table, people):
+    odd = spark.createDataFrame([(1, "a b", 1.0), (2, "c:d", 2.0), (3, "50%", 3.0), (4, None, 4.0), (5, "e/data/f", 5.0), (6, "é", 6.0)], people.schema)
+    table.append(odd, partition_by=["name"])
+    assert len(rows(table.read())) == 6 and all(f["size"] > 0 for f in table.snapshot().files)
+    kept = {f["path"] for f in table.snapshot().files}
+    table.overwrite_partitions(spark.createDataFrame([(9, "50%", 9.0), (8, None, 8.0)], people.schema), "name")
+    assert sorted(r["id"] for r in table.read().collect()) == [1, 2, 5, 6, 8, 9]
+    assert len(kept - {f["path"] for f in table.snapshot().files}) == 2
+    table.merge(spark.createDataFrame([(2, "c:d", 20.0)], people.schema), ["id", "name"])
+    assert table.read().filter("id = 2").first()["v"] == 20.0
