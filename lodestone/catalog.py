@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import expr as E
 from .operators import cdc, dlq, layers, quality
@@ -224,9 +225,41 @@ def dlq_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dlq.stats(dlq.quarantine(h.filter("event_id IS NULL"), "NO_EVENT", "events").unionByName(dlq.quarantine(h.filter("event_id IS NOT NULL AND user_id IS NULL"), "NO_USER", "events")))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, CAST(event_id % 4 AS INTEGER) AS kafka_partition, props AS raw_value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_deserialize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.from_json("props", "k bigint").alias("payload")).select("event_id", "payload.*")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    messages = events.select(F.col("props").alias("value"), (F.col("event_id") % 4).cast("int").alias("partition"), F.col("event_id").alias("offset"), F.col("ts").alias("timestamp"))
+    return streams.parse_payload(messages, T.StructType([T.StructField("k", T.LongType())])).select(F.col("kafka_offset").alias("event_id"), "kafka_partition", "raw_value", "k")
+
+
+@query(f"""WITH {HOLED}, c AS (SELECT count(*) AS total_records, count(*) FILTER (event_id IS NULL OR user_id IS NULL) AS dlq_records FROM h)
+ SELECT total_records, dlq_records, round(100 * dlq_records / total_records, 3) AS dlq_rate_pct, CASE WHEN 100 * dlq_records / total_records >= 5 THEN 'CRITICAL' WHEN 100 * dlq_records / total_records >= 1 THEN 'WARN' ELSE 'OK' END AS severity FROM c""")
+def dlq_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, bad = _holed(spark, sf_dir).agg(F.count("*"), F.count(F.when(E.any_null(["event_id", "user_id"]), 1))).first()
+    rate = dlq.dlq_rate(n, bad)
+    names = ("total_records", "dlq_records", "dlq_rate_pct", "severity")
+    return spark.createDataFrame([tuple(rate[k] for k in names)], "total_records long, dlq_records long, dlq_rate_pct double, severity string")
+
+
+@query("""WITH b AS (SELECT event_id FROM events WHERE event_id % 7 = 0) SELECT CASE WHEN event_id % 2 = 0 THEN 'RESOLVED' ELSE 'UNRESOLVABLE' END AS dlq_status, CASE WHEN event_id % 2 = 0 THEN '1' ELSE '2' END AS dlq_reprocess_count,
+ count(*) AS records, CAST(count(*) FILTER (event_id % 2 = 0) AS BIGINT) AS landed FROM b GROUP BY ALL""")
+def dlq_reprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tries at dead letters, of which half can be mended."""
+    letters, target = _table(spark, "dead"), _table(spark, "mended")
+    dlq.write(letters, _events(spark, sf_dir).filter("event_id % 7 = 0"), "events")
+    for _ in range(2):
+        dlq.reprocess(letters, target, lambda d: d.filter("event_id % 2 = 0"), max_attempts=2)
+    landed = target.read().select("event_id").withColumn("in_target", F.lit(1))
+    return letters.read().join(landed, "event_id", "left").groupBy("dlq_status", "dlq_reprocess_count").agg(F.count("*").alias("records"), F.count("in_target").alias("landed"))
+
+
+@query("""SELECT event_id, value * 20 AS amount, CASE WHEN value * 20 >= 1000 THEN 'enterprise' WHEN value * 20 >= 100 THEN 'mid_market' WHEN value * 20 > 0 THEN 'smb' ELSE 'free' END AS session_tier, CASE WHEN value * 20 >= 1000 THEN 'enterprise' WHEN value * 20 >= 100 THEN 'mid_market' ELSE 'smb' END AS transaction_tier,
+ CASE WHEN event_id % 80 >= 50 THEN 'power_user' WHEN event_id % 80 >= 20 THEN 'engaged' WHEN event_id % 80 >= 5 THEN 'casual' ELSE 'bounced' END AS engagement, CASE WHEN event_id % 40 = 0 THEN 'day_0' WHEN event_id % 40 <= 7 THEN 'day_1_7' WHEN event_id % 40 <= 30 THEN 'day_8_30' ELSE 'day_30_plus' END AS bucket
+ FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE value END AS value FROM events)""")
+def tiers_every_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    amount = F.when(F.col("event_id") % 9 == 0, 0.0).otherwise(F.col("value")) * 20
+    e = _events(spark, sf_dir).select("event_id", amount.alias("amount"))
+    return e.select("event_id", "amount", E.session_revenue_tier(F.col("amount")).alias("session_tier"), E.transaction_revenue_tier(F.col("amount")).alias("transaction_tier"), E.engagement_tier(F.col("event_id") % 80).alias("engagement"), E.cohort_bucket(F.col("event_id") % 40).alias("bucket"))
 
 
 # --- windows
@@ -309,6 +342,48 @@ def cdc_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick(big).unionByName(pick(every))
 
 
+@query(f"WITH {V1} SELECT * FROM v1")
+def time_travel_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _history(spark, sf_dir)
+    return t.read_timestamp(datetime.fromtimestamp(t.commits()[1]["ts"], UTC) + timedelta(microseconds=1))
+
+
+@query(f"WITH {V0} SELECT * FROM v0")
+def restore_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _history(spark, sf_dir)
+    t.restore_timestamp(datetime.fromtimestamp(t.commits()[0]["ts"], UTC) + timedelta(microseconds=1))
+    return t.read()
+
+
+@query(f"WITH {V1} SELECT * FROM v1 WHERE event_id % 11 <> 0")
+def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir).read()
+
+
+@query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'APPEND'), (1, 'MERGE'), (2, 'DELETE')) AS h (version, operation)")
+def table_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir).history().select("version", "operation")
+
+
+@query("SELECT event_id, CAST(user_id AS DOUBLE) AS user_id, event_type, ts, value FROM events")
+def widen_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one file from before a column was widened, and of one from after."""
+    e, t = _events(spark, sf_dir), _table(spark, "events")
+    t.append(e.filter("event_id % 2 = 0"))
+    t.enable_type_widening()
+    t.widen_column("user_id", "double")
+    t.append(e.filter("event_id % 2 = 1"))
+    return t.read()
+
+
+@query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00.25' AND ts <= TIMESTAMP '2024-01-20 10:30:00.75'")
+def range_to_the_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds with fractions of a second, one of them in a zone of its own, over files cut along time."""
+    t = _table(spark, "events")
+    t.append(_events(spark, sf_dir).repartitionByRange(8, "ts"))
+    return t.read(ranges={"ts": (datetime(2024, 1, 10, 0, 0, 0, 250_000, UTC), datetime(2024, 1, 20, 12, 30, 0, 750_000, timezone(timedelta(hours=2))))}).select("event_id", "ts")
+
+
 @query("SELECT CAST(0 AS BIGINT) AS version_a, CAST(2 AS BIGINT) AS version_b, (SELECT count(*) FROM events WHERE event_id % 3 <> 2) AS rows_a, (SELECT count(*) FROM events WHERE event_id % 11 <> 0) AS rows_b")
 def diff_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _history(spark, sf_dir).diff_versions(0, 2)
@@ -391,6 +466,18 @@ def accepted_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.failing_accepted_range(_events(spark, sf_dir), "value", 10, 500).select("event_id", "value")
 
 
+@query(f"WITH {HOLED} SELECT event_type, value FROM h WHERE user_id IS NULL")
+def not_null_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.failing_not_null(_holed(spark, sf_dir), "user_id").select("event_type", "value")
+
+
+@query(f"WITH {HOLED} SELECT count(*) >= 100 AS enough_rows, count(*) >= 1000000000 AS far_more, avg(CAST(user_id IS NULL AS INTEGER)) < 0.3 AS few_nulls, avg(CAST(user_id IS NULL AS INTEGER)) < 0.01 AS hardly_any FROM h")
+def row_count_and_null_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _holed(spark, sf_dir)
+    found = (quality.check_row_count(h, 100), quality.check_row_count(h, 1_000_000_000), quality.check_not_null(h, "user_id", 0.3), quality.check_not_null(h, "user_id"))
+    return spark.createDataFrame([found], "enough_rows boolean, far_more boolean, few_nulls boolean, hardly_any boolean")
+
+
 # --- lag
 
 
@@ -401,3 +488,13 @@ def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = e.groupBy("topic", "partition").agg(F.count("*").alias("offset"))
     done = e.filter("event_id < 500 AND partition <> 3").groupBy("topic", "partition").agg(F.count("*").alias("offset"))
     return monitor.lag_table(ends, done, monitor.LagLimits(2300, 2400))
+
+
+@query("""WITH l AS (SELECT CAST(user_id % 4 AS INTEGER) AS partition, count(*) AS n, count(*) FILTER (event_id < 500 AND user_id % 4 <> 3) AS done FROM events GROUP BY ALL)
+ SELECT CAST(sum(n - done) AS BIGINT) AS total_lag, max(n - done) AS max_lag, count(*) AS partitions, CASE WHEN max(n - done) >= 2400 THEN 'CRITICAL' WHEN max(n - done) >= 2300 THEN 'WARN' ELSE 'OK' END AS severity FROM l""")
+def consumer_lag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).withColumn("partition", (F.col("user_id") % 4).cast("int"))
+    offsets = lambda d: {("events", r["partition"]): r["count"] for r in d.groupBy("partition").count().collect()}
+    found = monitor.consumer_lag(offsets(e), offsets(e.filter("event_id < 500 AND partition <> 3")), monitor.LagLimits(2300, 2400)).summary()
+    names = ("total_lag", "max_lag", "partitions", "severity")
+    return spark.createDataFrame([tuple(found[k] for k in names)], "total_lag long, max_lag long, partitions long, severity string")

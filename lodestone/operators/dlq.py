@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..table.versioned import VersionedTable
 
+# The states and the columns of a dead letter.
 QUARANTINED, REPROCESSING, RESOLVED, UNRESOLVABLE = "QUARANTINED", "REPROCESSING", "RESOLVED", "UNRESOLVABLE"
 COLUMNS = ("dlq_id", "dlq_reason", "dlq_status", "dlq_quarantined_at", "dlq_resolved_at", "dlq_source_table", "dlq_batch_id", "dlq_reprocess_count")
 
@@ -87,10 +88,8 @@ def reprocess(table: VersionedTable, target: VersionedTable, fix: Callable[[Data
         return Reprocessed(0, 0, 0, 0)
 
     def mark(found: DataFrame, changes: dict[str, Column]) -> None:
-        rows = table.read()
-        hit = rows.join(found.select("dlq_id").withColumn("__hit", F.lit(True)), "dlq_id", "left")
-        new = hit.select(*[F.when(F.col("__hit"), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in rows.columns])
-        table.overwrite(new)
+        rows = table.read().join(found.select("dlq_id"), "dlq_id", "left_semi")
+        table.merge(rows.withColumns(changes), "dlq_id")
 
     one_more = (tried + 1).cast("string")
     mark(ids, {"dlq_status": F.lit(REPROCESSING), "dlq_reprocess_count": one_more})

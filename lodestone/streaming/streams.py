@@ -14,6 +14,7 @@ from ..operators import cdc
 from ..sources.adapter import EVENT_SCHEMA, REQUIRED
 from ..table.versioned import VersionedTable
 
+# The output columns of windows.
 WINDOW_KEYS = ("window_start", "window_end", "event_type", "product_line")
 
 
