@@ -3,8 +3,10 @@
 Every page becomes a small DOM. For each node the characters per tag, adjusted
 for link characters and link tags, give its composite density; a node's density
 sum adds those of its children. The node of the greatest sum is the anchor; the
-smallest density on the path from body to it is the threshold, and each node at
-or above the threshold contributes the subtree of greatest sum below it.
+smallest density and the smallest sum on the path from body to it are the
+thresholds. Each node at or above the first contributes the subtree of greatest
+sum below it, if that is a paragraph or heading or its sum is at or above the
+second: a footer or advert of one bare line is dense, but sums up to little.
 
 Defined cases: null or empty html, or a page without text, gives an empty text;
 unclosed and stray tags are repaired the way browsers do for paragraphs, list
@@ -44,6 +46,8 @@ FURNITURE = re.compile(
     r"(?:[_-](?:wrapper|wrap|container|box|bar|area|list|links|buttons|left|right|top|bottom|\d+))?",
     re.I,
 )
+# Elements that hold a paragraph or heading; of others, a short one may be dense by having no tags at all.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption".split())
 NAMED = "named"  # by class or id: dropped unless it holds the page's content
 KEPT = frozenset("html body article main".split())
 
@@ -245,11 +249,11 @@ def extract(page: str | None) -> str:
     if not body.chars:
         return ""
     top = body.best_node
-    threshold, x = top.density, top
+    threshold, least, x = top.density, top.total, top
     while x is not body:
         x = x.parent
-        threshold = min(threshold, x.density)
-    content = {id(n.best_node) for n in nodes if n.best_node is not None and n.density >= threshold and n.chars}
+        threshold, least = min(threshold, x.density), min(least, x.total)
+    content = {id(n.best_node) for n in nodes if n.best_node is not None and n.density >= threshold and n.chars and (n.best >= least or n.best_node.tag in TEXT)}
     parts: list = []
     todo = [body]
     while todo:

@@ -684,3 +684,26 @@ def test_html_on_pages(spark, sf):
 @given(st.text(alphabet="<>/pdiv abul='\"!-&;x", max_size=80))
 def test_html_never_fails(t):
     assert html_extraction.extract(t) == " ".join(html_extraction.extract(t).split())
+
+
+def test_density_alone_finds_main_texts(monkeypatch):
+    """Without the lists of page furniture, nearly all given pages give the same text, and no text loses a part."""
+    import pyarrow.parquet as pq
+
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).to_pylist()]
+    with_lists = [html_extraction.extract(h) for h in pages]
+    monkeypatch.setattr(html_extraction, "_furniture", lambda tag, attrs, inside: tag in ("head", "button", "select", "label", "template"))
+    alone = [html_extraction.extract(h) for h in pages]
+    assert sum(a == b for a, b in zip(with_lists, alone, strict=True)) >= 0.95 * len(pages)
+    assert all(b in a for a, b in zip(alone, with_lists, strict=True))
+
+
+def test_density_decides_where_a_page_marks_nothing():
+    story = " ".join(f"word{k}" for k in range(16))
+    first, second = "".join(f"<p>{story} a{k}</p>" for k in range(8)), "".join(f"<p>{story} b{k}</p>" for k in range(4))
+    bare = "Made by someone in some town, all rights are theirs, and nobody else may take any of this text away."
+    page = f"<body><div><a href=1>Home</a><a href=2>News</a></div><div>{bare}</div><div>{first}</div><div>{second}</div><div>{bare}</div></body>"
+    want = " ".join([*(f"{story} a{k}" for k in range(8)), *(f"{story} b{k}" for k in range(4))])
+    assert html_extraction.extract(page) == want
+    loose = f"<body><div><a href=1>Home</a></div><p>{story} intro</p><div>{first}</div><p>{story} end</p></body>"  # paragraphs beside the main block stay
+    assert html_extraction.extract(loose) == " ".join([f"{story} intro", *(f"{story} a{k}" for k in range(8)), f"{story} end"])
