@@ -9,6 +9,7 @@ from lodestone.plans import models, pipeline
 from lodestone.sources import files
 from lodestone.sources.adapter import EVENT_SCHEMA
 from lodestone.streaming import streams
+from lodestone.table import versioned
 from lodestone.table.versioned import VersionedTable
 
 
@@ -337,3 +338,19 @@ def test_partition_values_that_paths_must_escape(spark, table, people):
     assert len(kept - {f["path"] for f in table.snapshot().files}) == 2
     table.merge(spark.createDataFrame([(2, "c:d", 20.0)], people.schema), ["id", "name"])
     assert table.read().filter("id = 2").first()["v"] == 20.0
+
+
+def test_checkpoints_hold_the_same_state(spark, table, people, monkeypatch):
+    monkeypatch.setattr(versioned, "CHECKPOINT_EVERY", 2)
+    table.append(people)
+    table.delete("id = 1")
+    table.append(spark.createDataFrame([(5, "e", 5.0)], people.schema))  # version 2
+    table.set_properties(owner="x")
+    table.update("id = 5", {"v": F.lit(6.0)})  # version 4
+    assert table._checkpoints() == [2, 4]
+    seen = [(s.files, s.schema, s.column_map, s.properties, s.timestamp) for s in map(table.snapshot, range(5))]
+    found = [rows(table.read(v)) for v in range(5)]
+    assert [len(f) for f in found] == [3, 2, 3, 3, 3] and (5, "e", 6.0) in found[4]
+    monkeypatch.setattr(VersionedTable, "_checkpoints", lambda self: [])
+    assert seen == [(s.files, s.schema, s.column_map, s.properties, s.timestamp) for s in map(table.snapshot, range(5))]
+    assert found == [rows(table.read(v)) for v in range(5)]
