@@ -33,7 +33,11 @@ def stage_events(raw: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def sessions(events: DataFrame, as_of: datetime | None = None, lookback_days: int = 3, incremental: bool = False, literal: bool = False, stamp: bool = True) -> DataFrame:
-    """One row a session and user. incremental: sessions touched in the lookback before as_of, with all their events; literal: with only the events of the lookback."""
+    """One row a session and user. incremental: sessions touched in the lookback before as_of, with all their events; literal: with only the events of the lookback.
+
+    Revenue is added up event by event, in the order of event_id: a sum of doubles
+    hangs on its order, and one a hair below a tier's bound is another row than one at it.
+    """
     if incremental or literal:
         recent = events.filter(F.col("event_ts") >= _time(as_of - timedelta(days=lookback_days)))
         events = recent if literal else events.join(recent.select("session_id").distinct(), "session_id", "left_semi")
@@ -41,7 +45,10 @@ def sessions(events: DataFrame, as_of: datetime | None = None, lookback_days: in
         F.to_date(F.min("event_ts")).alias("session_date"), F.min("event_ts").alias("session_start_ts"), F.max("event_ts").alias("session_end_ts"),
         F.count("event_id").alias("total_events"), F.countDistinct("event_type").alias("unique_event_types"),
     )
-    money = events.groupBy("session_id").agg(F.sum("revenue_amount").alias("session_revenue"), F.max(F.col("is_paid").cast("int")).alias("paid"), F.collect_set("product_line").alias("product_lines_touched"))
+    place = Window.partitionBy("session_id").orderBy("event_id", "event_ts", "revenue_amount")
+    so_far = F.sum("revenue_amount").over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = events.filter(F.col("session_id").isNotNull()).withColumns({"revenue_so_far": so_far, "place": F.row_number().over(place)})
+    money = summed.groupBy("session_id").agg(F.max_by("revenue_so_far", "place").alias("session_revenue"), F.max(F.col("is_paid").cast("int")).alias("paid"), F.collect_set("product_line").alias("product_lines_touched"))
     out = bounds.join(money, "session_id", "left").select(
         "session_id", "user_id", "session_date", "session_start_ts", "session_end_ts", (F.unix_timestamp("session_end_ts") - F.unix_timestamp("session_start_ts")).alias("duration_seconds"),
         "total_events", "unique_event_types", "session_revenue", (F.col("paid") == 1).alias("had_payment"), "product_lines_touched", F.size("product_lines_touched").alias("product_lines_count"),

@@ -168,6 +168,23 @@ def test_rolling_by_days(spark):
     assert rows(models.daily_mart(s, by_days=True), "rolling_7d_sessions") == [(1,), (1,)]
 
 
+#: In this order they add up to 99.99999999999999, from the end or by twos to 100.
+CENTS = (17.16, 34.41, 24.88, 23.55)
+
+
+def bound_events(spark):
+    """A session of several tasks whose revenue, added up event by event, stays a hair below a tier's bound."""
+    at = lambda i: datetime(2024, 1, 30, 10, i, tzinfo=UTC)
+    events = [(i, 1, "click", at(i), "1-20240130", v, "pl_1", False, "{}") for i, v in enumerate(CENTS)]
+    schema = "event_id long, user_id long, event_type string, event_ts timestamp, session_id string, revenue_amount double, product_line string, is_paid boolean, metadata string"
+    return spark.createDataFrame(spark.sparkContext.parallelize(events[::-1], 2), schema)
+
+
+def test_incremental_sessions_add_up_in_the_order_of_events(spark):
+    s = models.sessions(bound_events(spark), datetime(2024, 1, 31), incremental=True, stamp=False)
+    assert rows(s, "session_revenue", "revenue_tier") == [(99.99999999999999, "smb")]
+
+
 def test_run_models(spark, tmp_path):
     raw = spark.createDataFrame([(str(i), "u1", f"s{i % 4}", f"2024-01-{10 + i % 4}T00:00:{i:02d}", "Click", "A", "2.5", "yes", "{}") for i in range(20)], "event_id string, user_id string, session_id string, event_ts string, event_type string, product_line string, revenue_amount string, is_paid string, metadata string")
     s, m = VersionedTable(spark, f"file://{tmp_path}", "sessions"), VersionedTable(spark, f"file://{tmp_path}", "mart")
