@@ -185,6 +185,11 @@ def test_incremental_sessions_add_up_in_the_order_of_events(spark):
     assert rows(s, "session_revenue", "revenue_tier") == [(99.99999999999999, "smb")]
 
 
+def test_mart_puts_a_session_at_a_bound_into_the_tier_of_its_sum(spark):
+    m = models.daily_mart(models.sessions(bound_events(spark), stamp=False))
+    assert rows(m, "revenue_tier", "unique_sessions", "p50_revenue") == [("smb", 1, 99.99999999999999)]
+
+
 def test_run_models(spark, tmp_path):
     raw = spark.createDataFrame([(str(i), "u1", f"s{i % 4}", f"2024-01-{10 + i % 4}T00:00:{i:02d}", "Click", "A", "2.5", "yes", "{}") for i in range(20)], "event_id string, user_id string, session_id string, event_ts string, event_type string, product_line string, revenue_amount string, is_paid string, metadata string")
     s, m = VersionedTable(spark, f"file://{tmp_path}", "sessions"), VersionedTable(spark, f"file://{tmp_path}", "mart")
