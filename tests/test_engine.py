@@ -190,6 +190,13 @@ def test_mart_puts_a_session_at_a_bound_into_the_tier_of_its_sum(spark):
     assert rows(m, "revenue_tier", "unique_sessions", "p50_revenue") == [("smb", 1, 99.99999999999999)]
 
 
+def test_sessions_add_up_in_the_order_of_events(spark):
+    e = bound_events(spark)
+    lost = e.withColumns({"session_id": F.lit(None).cast("string"), "user_id": F.lit(2).cast("long")})
+    s = models.sessions(e.unionByName(lost), stamp=False)
+    assert rows(s, "user_id", "total_events", "session_revenue", "revenue_tier") == [(1, 4, 99.99999999999999, "smb"), (2, 4, None, "free")]
+
+
 def test_run_models(spark, tmp_path):
     raw = spark.createDataFrame([(str(i), "u1", f"s{i % 4}", f"2024-01-{10 + i % 4}T00:00:{i:02d}", "Click", "A", "2.5", "yes", "{}") for i in range(20)], "event_id string, user_id string, session_id string, event_ts string, event_type string, product_line string, revenue_amount string, is_paid string, metadata string")
     s, m = VersionedTable(spark, f"file://{tmp_path}", "sessions"), VersionedTable(spark, f"file://{tmp_path}", "mart")
