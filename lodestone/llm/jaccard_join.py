@@ -15,7 +15,11 @@ three steps, none of which drops a pair:
    first ties its own sets and passes on one (key, tied sets) pair a key, packed with
    others of its bucket of keys; a bucket gives a star for each group of tied sets.
    So a frequent key arrives as often as there are blocks, and ties grow with the
-   sets, never with their pairs.
+   sets, never with their pairs. Chance ties grow with the pairs, though, and in a
+   large corpus chain unlike sets to clusters of much of it. Linked sets are tied in
+   every family of parts (by other hashes), unlike ones rarely in two: so the sets of
+   wide clusters are tied again among themselves, and only those stay together that
+   are connected in both, until that cuts off little.
 2. Signature trees. A cluster, or a chunk of a large one, is one tree: leaves are
    sets in an order that brings alike ones together, and each node holds the OR
    of its token bitmaps, its range of sizes and the most tokens that share bits.
@@ -64,6 +68,8 @@ MEMBER_BITS = 1 << 24
 PARTED, CLOSE, PARTINGS = 75, 88, 4
 #: A block of rows holds about so many keys (or shingles, when these are counted), and at most SETS rows; input bytes to a bucket of keys, and the range of their number.
 BLOCK_KEYS, SETS, BUCKET_BYTES, BUCKETS = 1_500_000, 1 << 20, 4 << 20, (8, 18)
+#: Sets from which a cluster is wide and is cut by ties of other families, how many families are tried, and the share of sets in wide clusters that one has to leave in narrower ones for another to follow.
+WIDE, FAMILIES, WORTH = 1_024, 8, 0.1
 #: Groups of chunks whose largest parts meet, how many of each, and how often groups are grouped again (16 ** 6 chunks at least cover any cluster).
 GROUP, HEADS, LEVELS = 16, 4, 6
 
@@ -129,8 +135,8 @@ class Classes:
             self.shapes[low] = (d + 1 + e, e) if d else (0, 0)
         return self.shapes[low]
 
-    def parted_keys(self, tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        """Keys for thresholds of PARTED percent or more: the sums of a set's parts, for both pairs of classes that it may be linked in.
+    def parted_keys(self, tokens: np.ndarray, frequent: np.ndarray, family: int = 0) -> np.ndarray:
+        """Keys for thresholds of PARTED percent or more: the sums of a set's parts, for both pairs of classes that it may be linked in. family: another number parts by other hashes.
 
         A linked pair has one more equal part than may be empty. So it shares a
         key of a parting unless both sets have more empty parts than that, and
@@ -148,7 +154,11 @@ class Classes:
                 continue
             for k in range(PARTINGS + 1):
                 own = rare if k == 0 else tokens
-                part = ((own * np.uint64(2 * k + 1) >> np.uint64(20 + k)) % np.uint64(parts)).astype(np.int64)
+                mixed = own
+                if family:
+                    mixed = (own ^ np.uint64(family * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+                    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+                part = ((mixed * np.uint64(2 * k + 1) >> np.uint64(20 + k)) % np.uint64(parts)).astype(np.int64)
                 sums = np.zeros(parts, np.uint64)
                 np.add.at(sums, part, own)
                 h = (sums ^ (np.arange(parts, dtype=np.uint64) + np.uint64((low + 1) * (PARTINGS + 1) + k << 32)) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
@@ -160,10 +170,10 @@ class Classes:
                     break
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
-    def keys(self, tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    def keys(self, tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, family: int = 0) -> np.ndarray:
         """Keys of a set: its parts, or for low thresholds its first shingles in the order, with both size classes where it may meet a partner."""
         if self.percent >= PARTED:
-            return self.parted_keys(tokens, frequent)
+            return self.parted_keys(tokens, frequent, family)
         n = len(tokens)
         at = np.searchsorted(frequent, tokens)
         at[at == len(frequent)] = 0
@@ -373,15 +383,15 @@ def _star(key: np.ndarray, owner: np.ndarray, parts: Parts) -> None:
                 parts.join(i, j)
 
 
-def _route(size: int, percent: int, held, bits: int):
-    """Rows and keys of each block of a task's rows (ROUTED). held: a broadcast of frequent shingles and their ranks."""
+def _route(size: int, percent: int, held, bits: int, family: int = 0):
+    """Rows and keys of each block of a task's rows (ROUTED). held: a broadcast of frequent shingles and their ranks; family: of the parts."""
 
     def run(batches):
         frequent, rank = held.value
         classes, block, number = Classes(percent), Block(), TaskContext.get().partitionId() << 20
         for b in batches:
             for d, h, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
-                block.add((d, h), shingles(t, size), lambda s: classes.keys(s, frequent, rank))
+                block.add((d, h), shingles(t, size), lambda s: classes.keys(s, frequent, rank, family))
                 if block.n_keys >= BLOCK_KEYS or len(block.rows) >= SETS:
                     yield from block.batches(number, bits)
                     block, number = Block(), number + 1
@@ -567,6 +577,56 @@ def _tied(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every, clusters
 
 
+def _member_bit():
+    return F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(MEMBER_BITS))
+
+
+def _members(chosen: DataFrame):
+    """A broadcast of the bitmap of the hashes of chosen (doc_id, text_hash), of a fixed size."""
+    bit = _member_bit()
+    words = chosen.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(MEMBER_BITS // 64, np.uint64)
+    bitmap[np.asarray(words.column("word").to_numpy(), np.int64)] = np.asarray(words.column("bits").to_numpy(), np.int64).view(np.uint64)
+    return chosen.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _taken(batches, member_of):
+    """The rows of batches whose bit is in a bitmap."""
+    for b in batches:
+        h = np.asarray(b.column("bit").to_numpy(zero_copy_only=False), np.int64)
+        yield b.take(pa.array(np.flatnonzero((member_of.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))))
+
+
+def _narrowed(rows: DataFrame, clustered: DataFrame, shingle: int, percent: int, held, bits: int) -> DataFrame:
+    """clustered (doc_id, text_hash, name, cluster), a materialized part of rows, with wide clusters cut where another family of parts doesn't tie their sets.
+
+    A bitmap tells the rows that are tied again; what it lets through by chance keeps
+    its cluster. Clusters are named by a hash: two of one name are one, which loses nothing.
+    """
+    if percent < PARTED:
+        return clustered
+    before = None
+    for family in range(1, FAMILIES + 1):
+        sizes = materialize(clustered.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= WIDE), "wide")
+        now = sizes.agg(F.sum("n")).first()[0] or 0
+        if not now or (before is not None and now > (1 - WORTH) * before):
+            discard(sizes)
+            break
+        before = now
+        member_of = _members(clustered.join(sizes, "cluster", "left_semi"))
+        route = _route(shingle, percent, held, bits, family)
+        routed = rows.select("doc_id", "text_hash", "text", _member_bit().alias("bit")).mapInArrow(lambda batches, m=member_of, f=route: f(_taken(batches, m)), ROUTED)
+        every, ties = _tied(routed)
+        node = every.filter("name is not null").groupBy("name").agg(F.min("node").alias("node"))
+        tie = node.join(ties, "node", "left").select("name", F.coalesce("label", "node").alias("tie"))
+        cut = clustered.join(sizes, "cluster", "left").join(tie, "name", "left")
+        cut = materialize(cut.select("doc_id", "text_hash", "name", F.when(F.col("n").isNotNull(), F.xxhash64("cluster", "tie")).otherwise(F.col("cluster")).alias("cluster")), "clustered")
+        for old in (clustered, sizes, every, ties):
+            discard(old)
+        clustered = cut
+    return clustered
+
+
 def _packed(rows: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
     """doc_id, text_hash, packed text and columns of chosen (doc_id, text_hash, ...), a materialized part of rows (doc_id, text_hash, text).
 
@@ -575,22 +635,16 @@ def _packed(rows: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
     a fraction of their shingles' hashes, so texts move and are shingled where
     they arrive.
     """
-    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(MEMBER_BITS))
-    words = chosen.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(MEMBER_BITS // 64, np.uint64)
-    bitmap[np.asarray(words.column("word").to_numpy(), np.int64)] = np.asarray(words.column("bits").to_numpy(), np.int64).view(np.uint64)
-    member_of = rows.sparkSession.sparkContext.broadcast(bitmap)
+    member_of = _members(chosen)
 
     def run(batches):
-        known, met = member_of.value, set()
-        for b in batches:
-            h = np.asarray(b.column("bit").to_numpy(zero_copy_only=False), np.int64)
-            b = b.take(pa.array(np.flatnonzero((known[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1))))
+        met = set()
+        for b in _taken(batches, member_of):
             own = [r for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True) if r[:2] not in met and not met.add(r[:2])]
             pack = zstandard.ZstdCompressor(level=3).compress
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.int64()), pa.array([r[1] for r in own], pa.int64()), pa.array([pack(r[2].encode("utf-8", "surrogatepass")) for r in own], pa.binary())], names=["doc_id", "text_hash", "packed"])
 
-    packed = rows.select("doc_id", "text_hash", "text", bit.alias("bit")).mapInArrow(run, "doc_id long, text_hash long, packed binary")
+    packed = rows.select("doc_id", "text_hash", "text", _member_bit().alias("bit")).mapInArrow(run, "doc_id long, text_hash long, packed binary")
     joined = packed.join(chosen, packed["doc_id"].eqNullSafe(chosen["doc_id"]) & (packed["text_hash"] == chosen["text_hash"]))
     return joined.select(packed["doc_id"], packed["text_hash"], packed["packed"], *columns)
 
@@ -612,6 +666,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     # Sets tied within one block only have a node that no tie between blocks names: it is their cluster.
     clustered = materialize(one.join(clusters, "node", "left").select("doc_id", "text_hash", "name", F.coalesce("label", "node").alias("cluster")), "clustered")
     discard(clusters)
+    clustered = _narrowed(rows, clustered, shingle, percent, held, bits)
     # A cluster of one set (copies in several blocks) holds no link.
     counted = materialize(clustered.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     sizes = materialize(counted.select("cluster", F.ceil(F.col("n") / F.greatest(F.lit(CHUNK), F.sqrt("n"))).cast("int").alias("chunks")), "sizes")

@@ -498,6 +498,24 @@ def test_jaccard_components(spark, docs, size, percent, chunk, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in alone.collect()} == got
 
 
+@pytest.mark.parametrize("percent", [60, 80])
+def test_jaccard_chance_ties_make_no_wide_cluster(spark, percent, monkeypatch):
+    """Texts of so few words that chance chains most of them: what is wide after one family of ties isn't after more, and no link is lost."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choices("abcdefgh", k=rng.randint(20, 40)))) for k in range(400)]
+    rows += [(1000 + k, f"{t} z") for k, t in rows[:40]]
+    met = []
+    large = jaccard_join._large_clusters
+    monkeypatch.setattr(jaccard_join, "CHUNK", 16)
+    monkeypatch.setattr(jaccard_join, "WIDE", 16, raising=False)
+    monkeypatch.setattr(jaccard_join, "_large_clusters", lambda sets, *more: met.append(sets.count()) or large(sets, *more))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, percent).collect()}
+    assert got == H.jaccard_components(rows, 3, percent)
+    assert sum(met) < 100 or percent < jaccard_join.PARTED
+
+
 def test_jaccard_rows_without_ids(spark):
     """Rows without an id link like others; one of each group stays, and rows of one id with unlike texts are told apart."""
     words = [f"w{i}" for i in range(200)]
