@@ -96,5 +96,11 @@ def any_null(columns: Sequence[str]) -> Column:
     return reduce(or_, [F.col(f"`{c}`").isNull() for c in columns], F.lit(False))
 
 
+def round_scaled(value: Column, places: int) -> Column:
+    """The double times a power of ten, rounded half away from zero, as DuckDB rounds; F.round goes by the digits that a double prints, and makes 1.005 (a hair less in binary) 1.01."""
+    scale = float(10**places)
+    return F.round(value * scale) / scale
+
+
 def severity(value: Column, warn: float, critical: float) -> Column:
     return F.when(value >= critical, "CRITICAL").when(value >= warn, "WARN").otherwise("OK")

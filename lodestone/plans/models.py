@@ -63,9 +63,9 @@ def daily_mart(sess: DataFrame, run_id: str | None = None, accuracy: int = 1_000
     n, paying = F.countDistinct("session_id"), F.count(F.when(F.col("had_payment"), 1))
     agg = sess.groupBy(F.col("session_date").alias("metric_date"), "revenue_tier", "engagement_tier").agg(
         n.alias("unique_sessions"), F.countDistinct("user_id").alias("unique_users"),
-        F.round(F.avg("duration_seconds"), 2).alias("avg_session_duration_seconds"), F.round(F.avg("total_events"), 2).alias("avg_events_per_session"), F.round(F.avg("product_lines_count"), 2).alias("avg_products_per_session"),
-        F.round(F.sum("session_revenue"), 2).alias("gross_revenue"), F.round(F.avg("session_revenue") + NUDGE, 2).alias("avg_revenue_per_session"), paying.alias("paying_sessions"),
-        F.round(paying / F.nullif(n, F.lit(0)) * 100, 2).alias("conversion_rate_pct"),
+        E.round_scaled(F.avg("duration_seconds"), 2).alias("avg_session_duration_seconds"), E.round_scaled(F.avg("total_events"), 2).alias("avg_events_per_session"), E.round_scaled(F.avg("product_lines_count"), 2).alias("avg_products_per_session"),
+        F.round(F.sum("session_revenue"), 2).alias("gross_revenue"), E.round_scaled(F.avg("session_revenue") + NUDGE, 2).alias("avg_revenue_per_session"), paying.alias("paying_sessions"),
+        E.round_scaled(paying / F.nullif(n, F.lit(0)) * 100, 2).alias("conversion_rate_pct"),
         p("session_revenue", 0.5).alias("p50_revenue"), p("session_revenue", 0.9).alias("p90_revenue"), p("session_revenue", 0.99).alias("p99_revenue"), p("duration_seconds", 0.5).alias("p50_duration_seconds"),
     )
     by_tier = Window.partitionBy("revenue_tier")

@@ -190,6 +190,12 @@ def test_mart_puts_a_session_at_a_bound_into_the_tier_of_its_sum(spark):
     assert rows(m, "revenue_tier", "unique_sessions", "p50_revenue") == [("smb", 1, 99.99999999999999)]
 
 
+def test_mart_rounds_halves_as_its_sql(spark):
+    # 97 / 40 is 2.425, in binary a hair less: DuckDB's round(2.425, 2) is 2.42, Spark's 2.43.
+    s = spark.range(40).select(F.col("id").cast("string").alias("session_id"), F.lit(1).alias("user_id"), F.lit("2024-01-01").cast("date").alias("session_date"), *[F.when(F.col("id") < 23, 2).otherwise(3).alias(c) for c in ("duration_seconds", "total_events", "product_lines_count")], F.lit(5.0).alias("session_revenue"), F.lit(True).alias("had_payment"), F.lit("smb").alias("revenue_tier"), F.lit("bounced").alias("engagement_tier"))
+    assert rows(models.daily_mart(s), "avg_session_duration_seconds", "avg_events_per_session", "avg_products_per_session") == [(2.42, 2.42, 2.42)]
+
+
 def test_sessions_add_up_in_the_order_of_events(spark):
     e = bound_events(spark)
     lost = e.withColumns({"session_id": F.lit(None).cast("string"), "user_id": F.lit(2).cast("long")})
