@@ -7,6 +7,9 @@ a re-read and never a result.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +63,19 @@ def discard(df: DataFrame) -> None:
         discard_path(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Give back what the driver has no use for between the steps of a long query.
+
+    Spark drops the shuffles and broadcasts of finished steps only when the driver
+    collects its garbage, and a heap with room grows before it does; what Python
+    has freed stays with its process until it is trimmed.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+    with contextlib.suppress(OSError, AttributeError):  # C libraries without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -58,7 +58,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import discard, discard_path, like_documents, materialize, materialize_by, texts
+from .common import discard, discard_path, like_documents, materialize, materialize_by, release, texts
 
 #: Sets in a chunk at least; shingles that may be put last (their number bounds the broadcast); copies in a block from which one counts as frequent there.
 CHUNK, FREQUENT, LOCALLY_FREQUENT = 256, 65_536, 3
@@ -458,6 +458,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels._lodestone_path = new._lodestone_path
         if not seen.get["moved"]:
             discard(both)
+            release(edges.sparkSession)
             return labels
 
 
@@ -676,6 +677,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col:
     placed = _packed(rows, chunked, "cluster", "chunk", "name", "is_large").repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk", "name")
     parts = materialize(placed.mapInArrow(_chunk_links(shingle, percent), LINKED), "parts")
     discard(chunked)
+    release(spark)
     part_of = parts.select("name", "part").distinct()
     large = sizes.filter("chunks > 1")
     if large.limit(1).count():
@@ -700,6 +702,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     Rows that repeat the kept document stay, as do all rows without words.
     """
     every, named_class = _classes(docs, shingle, percent, "doc_id", "text")
+    named_class = materialize(named_class, "classes")  # it is read twice
+    release(docs.sparkSession)
     found = every.filter("name is not null").join(named_class, "name")
     bare = found.filter("component_id is null").groupBy("component").agg(F.min("text_hash").alias("kept_hash"))
     other = F.when(F.col("component_id").isNotNull(), F.coalesce(F.col("doc_id") != F.col("component_id"), F.lit(True))).otherwise(F.col("text_hash") != F.col("kept_hash"))

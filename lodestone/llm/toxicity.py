@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import release, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: What the driver and the broadcast hold is bounded by these.
@@ -373,6 +373,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, reject_from: float = REJECT_FROM) -> DataFrame:
     """docs without the rows whose text scores reject_from or more: decided row by row, in place, without a shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, training_labels(labels)))
+    release(docs.sparkSession)
 
     def run(batches):
         m = held.value

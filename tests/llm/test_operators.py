@@ -516,6 +516,17 @@ def test_jaccard_chance_ties_make_no_wide_cluster(spark, percent, monkeypatch):
     assert sum(met) < 100 or percent < jaccard_join.PARTED
 
 
+def test_near_duplicates_spare_the_driver(spark, docs):
+    """Garbage (with it Spark's finished shuffles and broadcasts) is collected between the steps, and what is read twice is computed once."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    kept = jaccard_join.keep_one(docs)
+    assert full() - before >= 2
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 4 and "parts-" not in plan
+
+
 def test_jaccard_rows_without_ids(spark):
     """Rows without an id link like others; one of each group stays, and rows of one id with unlike texts are told apart."""
     words = [f"w{i}" for i in range(200)]
